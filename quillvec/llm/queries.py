@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillvec.llm import bpe, split
+from quillvec.llm import bpe, packing, split
 from quillvec.session import table
 
 
@@ -22,10 +22,21 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
 
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_config"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    config = table(spark, d, "pack_config")
+    return packing.fill_report(packing.pack_texts(table(spark, d, "documents"), config), config)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p6_ids": p6_ids,
+    "p7_pack": p7_pack,
+    "p7_report": p7_report,
 }
 
 SQL: dict[str, str] = {
