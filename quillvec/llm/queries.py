@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillvec.llm import bpe, packing, split
+from quillvec.llm import bpe, neardup, packing, split
 from quillvec.session import table
 
 
@@ -18,6 +18,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.pieces(table(spark, d, "documents"), table(spark, d, "chunk_config"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_copies(neardup.corpus(table(spark, d, "documents"), table(spark, d, "chunks")))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(neardup.corpus(table(spark, d, "documents"), table(spark, d, "chunks")))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
@@ -34,6 +42,8 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p6_ids": p6_ids,
     "p7_pack": p7_pack,
     "p7_report": p7_report,
