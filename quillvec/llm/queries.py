@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillvec.llm import bpe, neardup, packing, split
+from quillvec.llm import bpe, clusters, neardup, packing, split
 from quillvec.session import table
 
 
@@ -18,6 +18,18 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.pieces(table(spark, d, "documents"), table(spark, d, "chunk_config"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.anchored(table(spark, d, "op_log"), table(spark, d, "anchors"))
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.described(table(spark, d, "op_log"), table(spark, d, "anchors"))
+
+
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.memberships(table(spark, d, "op_log"), table(spark, d, "anchors"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_copies(neardup.corpus(table(spark, d, "documents"), table(spark, d, "chunks")))
 
@@ -42,6 +54,9 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p3_found": p3_found,
+    "p3_clusters": p3_clusters,
+    "p3_members": p3_members,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p6_ids": p6_ids,
