@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillvec.llm import bpe, clusters, neardup, packing, split
+from quillvec.llm import bpe, clusters, neardup, neighbours, packing, split
+from quillvec.llm.vectors import live_units
 from quillvec.session import table
 
 
@@ -38,6 +40,16 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(neardup.corpus(table(spark, d, "documents"), table(spark, d, "chunks")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.mutual_pairs(table(spark, d, "op_log"))
+
+
+def p5_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar records; queries are the records whose id hashes to a multiple of 50."""
+    asks = F.crc32("ext_id") % 50 == 0
+    return neighbours.most_similar(live_units(table(spark, d, "op_log")), queries=asks, **neighbours.THOROUGH)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
@@ -59,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_members": p3_members,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_similar": p5_similar,
     "p6_ids": p6_ids,
     "p7_pack": p7_pack,
     "p7_report": p7_report,
