@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillvec.llm import bpe, clusters, neardup, neighbours, packing, split
+from quillvec.llm import abuse, bpe, clusters, neardup, neighbours, packing, split, subset
 from quillvec.llm.vectors import live_units
 from quillvec.session import table
 
@@ -20,6 +20,15 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.pieces(table(spark, d, "documents"), table(spark, d, "chunk_config"))
 
 
+def p2_subset(spark: SparkSession, d: str) -> DataFrame:
+    return subset.requested(*(table(spark, d, t) for t in ("op_log", "retrieved", "subset_request")))
+
+
+def p2_retrieved(spark: SparkSession, d: str) -> DataFrame:
+    sizes = subset.sizes_of(table(spark, d, "subset_request"), "retrieved")
+    return subset.per_query(table(spark, d, "retrieved"), sizes)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.anchored(table(spark, d, "op_log"), table(spark, d, "anchors"))
 
@@ -63,9 +72,23 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack_texts(table(spark, d, "documents"), config), config)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents")).where("found").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(abuse.scores(table(spark, d, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_subset": p2_subset,
+    "p2_retrieved": p2_retrieved,
     "p3_found": p3_found,
     "p3_clusters": p3_clusters,
     "p3_members": p3_members,
@@ -76,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_pack": p7_pack,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 
 SQL: dict[str, str] = {
@@ -96,5 +122,17 @@ own AS (SELECT source, arg_min(window_size, config_id) AS w FROM chunk_config GR
 SELECT p.doc_id, CAST(p.para_no AS INTEGER) AS para_no
 FROM paras p LEFT JOIN own c ON p.source = c.source
 WHERE p.tokens > greatest(1, coalesce(c.w, (SELECT w FROM own WHERE source = '*')))
+""",
+    "p2_retrieved": r"""
+WITH distinct_rows AS (SELECT DISTINCT qid, rank_no, doc_id, text FROM retrieved),
+r AS (SELECT *, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[ \t\n\v\f\r]+', ' ', 'g')) AS norm
+      FROM distinct_rows),
+c AS (SELECT *, least(row_number() OVER (PARTITION BY qid, norm ORDER BY rank_no NULLS LAST, doc_id NULLS LAST, text NULLS LAST), 2) AS copy FROM r),
+w AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY copy, rank_no NULLS LAST, text NULLS LAST) AS turn FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY copy, turn, rank_no NULLS LAST, doc_id NULLS LAST, text NULLS LAST) AS place FROM w),
+s AS (SELECT request_id, subset_size FROM subset_request WHERE scope = 'retrieved')
+SELECT s.request_id, p.qid, p.rank_no, p.doc_id, CAST(p.place AS INTEGER) AS place
+FROM p JOIN s ON p.place <= s.subset_size
 """,
 }
