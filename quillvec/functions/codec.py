@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,25 +135,14 @@ def plain_frames(data: bytes) -> Iterator[bytes]:
         at += 4 + n
 
 
-def _plain(meta: Any) -> dict[str, Any] | None:
-    if meta is None:
-        return None
-    pairs = meta.items() if isinstance(meta, dict) else meta
-    return {k: (v if isinstance(v, dict) else v.asDict()) for k, v in pairs}
-
-
 def encode_op(op: Column, ext_id: Column, vec: Column, meta: Column) -> Column:
     """Binary column of operations; null where the kind or the id is null."""
 
-    @F.pandas_udf("binary")
-    def run(op: pd.Series, ext_id: pd.Series, vec: pd.Series, meta: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                None if i is None or o is None or o != o else encode(int(o), i, v, _plain(m))
-                for o, i, v, m in zip(op, ext_id, vec, meta)
-            ],
-            dtype=object,
-        )
+    @F.arrow_udf("binary")
+    def run(op: pa.Array, ext_id: pa.Array, vec: pa.Array, meta: pa.Array) -> pa.Array:
+        rows = zip(op.to_pylist(), ext_id.to_pylist(), vec.to_pylist(), meta.to_pylist())
+        made = [None if o is None or i is None else encode(o, i, v, None if m is None else dict(m)) for o, i, v, m in rows]
+        return pa.array(made, pa.binary())
 
     return run(op, ext_id, vec, meta)
 
@@ -161,16 +150,21 @@ def encode_op(op: Column, ext_id: Column, vec: Column, meta: Column) -> Column:
 def decode_op(data: Column) -> Column:
     """Struct of the operation; where the bytes are none its fields are null and ``_corrupt`` says why."""
 
-    @F.pandas_udf(f"{OP_STRUCT}, _corrupt string")
-    def run(data: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(f"{OP_STRUCT}, _corrupt string")
+    def run(data: pa.Array) -> pa.Array:
+        value = pa.struct([("t", pa.int8()), ("i", pa.int64()), ("d", pa.float64()), ("s", pa.string()), ("b", pa.bool_())])
+        kind = pa.struct(
+            [("op", pa.int32()), ("ext_id", pa.string()), ("vec", pa.list_(pa.float32())),
+             ("meta", pa.map_(pa.string(), value)), ("_corrupt", pa.string())]
+        )
+        empty = {"op": None, "ext_id": None, "vec": None, "meta": None, "_corrupt": None}
         rows = []
-        for d in data:
+        for d in data.to_pylist():
             try:
-                rows.append(decode(bytes(d)) | {"_corrupt": None} if d is not None else dict.fromkeys(("op", "ext_id", "vec", "meta", "_corrupt")))
+                row = empty if d is None else empty | decode(d)
             except (CorruptRecord, UnicodeDecodeError) as e:
-                rows.append({"op": None, "ext_id": None, "vec": None, "meta": None, "_corrupt": str(e)})
-        made = pd.DataFrame(rows, columns=["op", "ext_id", "vec", "meta", "_corrupt"])
-        made["op"] = made["op"].astype("Int32")
-        return made
+                row = empty | {"_corrupt": str(e)}
+            rows.append(row if row["meta"] is None else row | {"meta": list(row["meta"].items())})
+        return pa.array(rows, kind)
 
     return run(data)
