@@ -8,7 +8,9 @@ The stored norm of the sum turns inner products with it into cosines.
 The first two codebooks also make the inverted lists: a list for each pair of their codewords.  A
 query's look-up tables (its products with the codewords) and the stored products of the codewords
 give its distance to all lists, and it visits the nearest ``probes`` of them.  In a list, candidates
-are scored from their codes, the best are compared exactly, and the best of all lists are merged.
+are scored from their codes and the best of them from their vectors; the best of all lists are
+merged and reranked by exact cosines.  Queries travel to the lists as one byte per dimension, which
+is precise enough to choose what is reranked.
 Scores by tables are sums of table entries over a candidate's codes; as the product with the summed
 codewords is the same number and much faster for blocks of queries, blocks are scored that way.
 
@@ -28,14 +30,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillvec.llm.vectors import DIM, binary, live_units, matrix
+from quillvec.llm.vectors import DIM, live_units, matrix
 from quillvec.session import small, written
 
 SAMPLE = 32_768  # rows that the codebooks are fitted on, at most
 LIST_RECORDS = 512  # records a list is to hold on average
 BOOKS, FINE = 4, 64  # codebooks: two for the lists, the others with FINE codewords
 BEAM = 4
-PROBES = 8
+PROBES = 6
+ROUNDING = 0.02  # what a cosine may lose by one byte per dimension
+SPARE = 8  # neighbours beyond k that are reranked
 BLOCK_RECORDS, BLOCK_QUERIES = 16_384, 32_768
 # Settings for neighbours at any distance: in many dimensions those lie in many lists.
 THOROUGH = {"lists": 64, "probes": 16, "books": 8, "fine": 256}
@@ -232,18 +236,18 @@ def _search(
                 )
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), packed, pa.array(norm), pa.array(home),
-                     pa.ListArray.from_arrays(offsets, pa.array(near.ravel()))],
-                    ["ext_id", "v", "asks", "codes", "norm", "home", "near"],
+                     pa.ListArray.from_arrays(offsets, pa.array(near.ravel())), rounded(x)],
+                    ["ext_id", "v", "asks", "codes", "norm", "home", "near", "q8"],
                 )
 
     asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     indexed = written(
         vectors.select("ext_id", "v", asks.alias("asks")).mapInArrow(
-            index, "ext_id string, v binary, asks boolean, codes binary, norm float, home int, near array<int>"
+            index, "ext_id string, v binary, asks boolean, codes binary, norm float, home int, near array<int>, q8 binary"
         ),
         "indexed",
     )
-    visits = indexed.where("asks").select("ext_id", "v", F.explode("near").alias("list"))
+    visits = indexed.where("asks").select("ext_id", "q8", "home", F.explode("near").alias("list"))
     # Lists that need more than one block; there are at most as many as full blocks.
     record_blocks = indexed.groupBy(F.col("home").alias("list")).agg(
         F.ceil(F.count(F.lit(1)) / BLOCK_RECORDS).cast("int").alias("rb")
@@ -253,41 +257,87 @@ def _search(
     spread = F.xxhash64("ext_id").bitwiseAND(F.lit(2**31 - 1))
     one = F.lit(1)
     rb, qb = F.coalesce("rb", one), F.coalesce("qb", one)
+    whole = F.col("rb").isNull()  # in a list of one block a record asks where it is
     records = (
-        indexed.select("ext_id", "v", "codes", "norm", F.col("home").alias("list")).join(blocks, "list", "left")
+        indexed.select("ext_id", "v", "codes", "norm", "asks", F.col("home").alias("list"), F.array_contains("near", F.col("home")).alias("_own"))
+        .join(blocks, "list", "left")
         .select("list", (spread % rb).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), qb - 1)).alias("q"),
-                F.lit(False).alias("asks"), "ext_id", "v", "codes", "norm")
+                (F.col("asks") & whole & F.col("_own")).alias("asks"), "ext_id", "v", "codes", "norm", F.lit(None).cast("binary").alias("q8"))
     )
     asked = (
-        visits.join(blocks, "list", "left")
+        visits.join(blocks, "list", "left").where(~whole | (F.col("list") != F.col("home")))
         .select("list", F.explode(F.sequence(F.lit(0), rb - 1)).alias("r"), (spread % qb).cast("int").alias("q"),
-                F.lit(True).alias("asks"), "ext_id", "v",
-                F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
+                F.lit(True).alias("asks"), "ext_id", F.lit(None).cast("binary").alias("v"),
+                F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), "q8")
     )
+    near_only = least > -1
 
     def search(part):
         books = shared.value
         part = part.combine_chunks()
-        role = part.column("asks")
-        mine, theirs = part.filter(role), part.filter(pa.compute.invert(role))
-        if len(mine) == 0 or len(theirs) == 0:
-            return pa.table({"ext_id": pa.array([], pa.string()), "other": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
-        theirs = theirs.sort_by("ext_id")
-        ids, others = (t.column("ext_id").combine_chunks() for t in (mine, theirs))
-        q = matrix(mine.column("v").combine_chunks(), dim)
-        exact = matrix(theirs.column("v").combine_chunks(), dim)
-        packed = theirs.column("codes").combine_chunks()
-        codes = np.frombuffer(b"".join(packed.to_pylist()), np.uint16).reshape(-1, number)
+        is_record = part.column("v").is_valid()
+        theirs = part.filter(is_record).sort_by("ext_id")
+        homed, guests = theirs.filter(theirs.column("asks")), part.filter(pa.compute.invert(is_record))
+        none = pa.table({"ext_id": pa.array([], pa.string()), "other": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
+        if len(theirs) == 0 or len(homed) + len(guests) == 0:
+            return none
+        column = lambda t, c: t.column(c).combine_chunks()
+        flat = lambda t, c: t.chunk(0) if isinstance(t := column(t, c), pa.ChunkedArray) else t
+        exact = matrix(flat(theirs, "v"), dim)
+        q = np.concatenate([matrix(flat(homed, "v"), dim) if len(homed) else exact[:0],
+                            unrounded(flat(guests, "q8"), dim) if len(guests) else exact[:0]])
+        ids = pa.concat_arrays([flat(homed, "ext_id"), flat(guests, "ext_id")] if len(homed) and len(guests)
+                               else [flat(homed if len(homed) else guests, "ext_id")])
+        others = flat(theirs, "ext_id")
+        codes = np.frombuffer(b"".join(theirs.column("codes").to_pylist()), np.uint16).reshape(-1, number)
         norm = theirs.column("norm").to_numpy()
         decoded = books.decode(codes) / np.maximum(norm, 1e-9)[:, None]
-        i, j, cosine = search_block(q, exact, decoded, k + 1, least)
-        i, j = pa.array(i), pa.array(j)
-        made = pa.table({"ext_id": ids.take(i), "other": others.take(j), "cosine": pa.array(cosine.astype(np.float64))})
+        i, j, cosine = search_block(q, exact, decoded, k + SPARE, least - ROUNDING if near_only else least)
+        made = pa.table({"ext_id": ids.take(pa.array(i)), "other": others.take(pa.array(j)), "cosine": pa.array(cosine.astype(np.float64))})
         return made.filter(pa.compute.not_equal(made.column("ext_id"), made.column("other")))
 
     found = records.unionByName(asked).groupBy("list", "r", "q").applyInArrow(search, kind)
+    if near_only and queries is None:
+        # A pair that one side has found is one for both.
+        found = written(found, "met")
+        back = found.select(F.col("other").alias("ext_id"), F.col("ext_id").alias("other"), "cosine")
+        found = found.unionByName(back).groupBy("ext_id", "other").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("ext_id").orderBy(F.col("cosine").desc(), "other")
-    return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+    pairs = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + SPARE)
+    return _reranked(pairs.select("ext_id", "other"), vectors, least, dim).withColumn("_n", F.row_number().over(best)).where(
+        F.col("_n") <= k
+    ).drop("_n")
+
+
+def rounded(x: np.ndarray) -> pa.Array:
+    """Unit vectors as one byte per dimension."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    small_ = np.rint(np.divide(127 * x, top, out=np.zeros_like(x), where=top > 0)).astype(np.int8)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(small_))])
+
+
+def unrounded(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors from one byte per dimension."""
+    x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def _reranked(pairs: DataFrame, vectors: DataFrame, least: float, dim: int) -> DataFrame:
+    """``(ext_id, other, cosine)`` with exact cosines, of the pairs that reach ``least``."""
+    pairs = written(pairs, "pairs")
+    full = pairs.join(vectors.select("ext_id", F.col("v").alias("_a")), "ext_id").join(
+        vectors.select(F.col("ext_id").alias("other"), F.col("v").alias("_b")), "other"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (matrix(batch.column(i), dim).astype(np.float64) for i in (2, 3))
+            cosine = pa.array((a * b).sum(axis=1))
+            made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cosine], ["ext_id", "other", "cosine"])
+            yield made.filter(pa.compute.greater_equal(cosine, least))
+
+    return full.select("ext_id", "other", "_a", "_b").mapInArrow(run, "ext_id string, other string, cosine double")
 
 
 def most_similar(
@@ -312,9 +362,11 @@ def most_similar(
     zero = F.lit(bytes(4 * dim))
     vectors = vectors.where(F.col("v") != zero)
     # Equal vectors: one of them stands for all.
-    twice = written(vectors.groupBy("v").count().where("count > 1").select("v"), "twice")
-    copies = written(vectors.join(twice, "v", "left_semi").select("v", "ext_id"), "copies")
-    heads = copies.groupBy("v").agg(F.min("ext_id").alias("head"))
+    digest = F.xxhash64("v")
+    twice = written(vectors.groupBy(digest.alias("_h")).count().where("count > 1").select("_h"), "twice")
+    maybe = written(vectors.withColumn("_h", digest).join(twice, "_h", "left_semi").select("v", "ext_id"), "maybe")
+    heads = maybe.groupBy("v").agg(F.min("ext_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = maybe
     of = written(copies.join(heads, "v").select("head", "ext_id"), "heads")
     spare = of.where("head <> ext_id").select("ext_id")
     single = vectors.join(spare, "ext_id", "left_anti")
