@@ -176,16 +176,44 @@ class Compiler:
         self.promoted = dict(promoted or {})
         self.kinds = dict(df.dtypes)
 
-    def _leaf(self, op: str, key: str, value: Value) -> Column:
+    def _raw(self, op: str, key: str, value: Value) -> Column | None:
+        """The comparison, null where the key is missing; None if it can never hold."""
         if key in self.promoted:
             name = self.promoted[key]
-            made = _on_typed(op, self.df[name], self.kinds[name], value)
-        elif self.meta:
-            made = _on_struct(op, F.try_element_at(self.df[self.meta], F.lit(key)), value)
-        else:
-            made = None
+            return _on_typed(op, self.df[name], self.kinds[name], value)
+        if self.meta:
+            return _on_struct(op, F.try_element_at(self.df[self.meta], F.lit(key)), value)
+        return None
+
+    def _leaf(self, op: str, key: str, value: Value) -> Column:
+        made = self._raw(op, key, value)
         return F.lit(False) if made is None else F.coalesce(made, F.lit(False))
 
+    def predicate(self, f: Filter | None, holds: bool = True) -> Column:
+        """Condition for ``where`` that keeps the rows for which ``f`` is (or, not ``holds``, is not) true.
+
+        It may be null where it does not hold.  Negations are moved down to the leaves and typed
+        columns are compared bare, so that the condition can be pushed down to the scan.
+        """
+        if f is None:
+            return F.lit(holds)
+        if isinstance(f, Negate):
+            return self.predicate(f.child, not holds)
+        if isinstance(f, In):
+            return self.predicate(AnyOf(tuple(Compare("eq", f.key, v) for v in f.values)), holds)
+        if isinstance(f, (AllOf, AnyOf)):
+            both = isinstance(f, AllOf) == holds
+            parts = (self.predicate(c, holds) for c in f.children)
+            return reduce((lambda a, b: a & b) if both else (lambda a, b: a | b), parts, F.lit(both))
+        made = self._raw(f.op, f.key, f.value)
+        if made is None:
+            return F.lit(not holds)
+        if holds:
+            return made
+        if f.key in self.promoted:
+            return ~made | self.df[self.promoted[f.key]].isNull()
+        return ~F.coalesce(made, F.lit(False))
+
     def column(self, f: Filter | None) -> Column:
         """The filter as a boolean column that is never null; None is true."""
         if f is None:
@@ -205,7 +233,7 @@ class Compiler:
 
 def where(df: DataFrame, f: Filter | None, meta: str | None = "meta", promoted: Mapping[str, str] | None = None) -> DataFrame:
     """The rows of ``df`` that pass ``f``."""
-    return df if f is None else df.where(Compiler(df, meta, promoted).column(f))
+    return df if f is None else df.where(Compiler(df, meta, promoted).predicate(f))
 
 
 def meta_value(value: Any) -> dict[str, Any]:

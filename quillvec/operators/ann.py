@@ -83,7 +83,7 @@ def build(
     hashed = F.xxhash64(id).bitwiseAND(F.lit(2**31 - 1))
     limit = int(min(1.0, 1.3 * SAMPLE / max(1, total)) * (2**31 - 1))
     sample = rows.where(hashed <= limit).orderBy(hashed, id).limit(SAMPLE).select(vec).collect()
-    x = _prepared(np.array([r[0] for r in sample], np.float64).reshape(len(sample), -1), metric)
+    x = _prepared(np.array([r[0] for r in sample], np.float64), metric) if sample else np.zeros((0, 1))
     cells = min(MAX_CELLS, params.cells or max(1, int(np.sqrt(total))))
     centroids = fit_centroids(x, cells, params) if len(x) else np.zeros((1, 1))
     shared = spark.sparkContext.broadcast(centroids)
