@@ -9,7 +9,7 @@ The first two codebooks also make the inverted lists: a list for each pair of th
 query's look-up tables (its products with the codewords) and the stored products of the codewords
 give its distance to all lists, and it visits the nearest ``probes`` of them.  In a list, candidates
 are scored from their codes and the best of them from their vectors; the best of all lists are
-merged and reranked by exact cosines.  Queries travel to the lists as one byte per dimension, which
+merged and reranked by exact cosines.  Vectors travel to the lists as one byte per dimension, which
 is precise enough to choose what is reranked.
 Scores by tables are sums of table entries over a candidate's codes; as the product with the summed
 codewords is the same number and much faster for blocks of queries, blocks are scored that way.
@@ -35,10 +35,10 @@ from quillvec.session import small, written
 
 SAMPLE = 32_768  # rows that the codebooks are fitted on, at most
 LIST_RECORDS = 512  # records a list is to hold on average
-BOOKS, FINE = 4, 64  # codebooks: two for the lists, the others with FINE codewords
-BEAM = 4
+BOOKS, FINE = 8, 64  # codebooks: two for the lists, the others with FINE codewords, at most 256
+BEAM = 2
 PROBES = 6
-ROUNDING = 0.02  # what a cosine may lose by one byte per dimension
+ROUNDING = 0.03  # what a cosine may lose by one byte per dimension
 SPARE = 8  # neighbours beyond k that are reranked
 BLOCK_RECORDS, BLOCK_QUERIES = 16_384, 32_768
 # Settings for neighbours at any distance: in many dimensions those lie in many lists.
@@ -58,7 +58,7 @@ class Codebooks:
         """``(rows, books)`` codes by beam search; ties go to the lower code."""
         n = len(x)
         sums = np.zeros((n, 1, x.shape[1]), np.float32)
-        codes = np.zeros((n, 1, 0), np.uint16)
+        codes = np.zeros((n, 1, 0), np.uint8)
         cost = np.zeros((n, 1), np.float32)
         for book in self.books:
             width = codes.shape[1]
@@ -74,7 +74,7 @@ class Codebooks:
             best = best[rows, order]
             at, word = best // len(book), best % len(book)
             sums = sums[rows, at] + book[word]
-            codes = np.concatenate([codes[rows, at], word[:, :, None].astype(np.uint16)], axis=2)
+            codes = np.concatenate([codes[rows, at], word[:, :, None].astype(np.uint8)], axis=2)
             cost = flat[rows, best]
         return codes[:, 0]
 
@@ -232,18 +232,18 @@ def _search(
                 norm = np.linalg.norm(books.decode(codes), axis=1).astype(np.float32)
                 packed = pa.Array.from_buffers(
                     pa.binary(), len(x),
-                    [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * (2 * number)), pa.py_buffer(np.ascontiguousarray(codes))],
+                    [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * number), pa.py_buffer(np.ascontiguousarray(codes))],
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), packed, pa.array(norm), pa.array(home),
+                    [part.column(0), part.column(2), packed, pa.array(norm), pa.array(home),
                      pa.ListArray.from_arrays(offsets, pa.array(near.ravel())), rounded(x)],
-                    ["ext_id", "v", "asks", "codes", "norm", "home", "near", "q8"],
+                    ["ext_id", "asks", "codes", "norm", "home", "near", "q8"],
                 )
 
     asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     indexed = written(
         vectors.select("ext_id", "v", asks.alias("asks")).mapInArrow(
-            index, "ext_id string, v binary, asks boolean, codes binary, norm float, home int, near array<int>, q8 binary"
+            index, "ext_id string, asks boolean, codes binary, norm float, home int, near array<int>, q8 binary"
         ),
         "indexed",
     )
@@ -259,23 +259,23 @@ def _search(
     rb, qb = F.coalesce("rb", one), F.coalesce("qb", one)
     whole = F.col("rb").isNull()  # in a list of one block a record asks where it is
     records = (
-        indexed.select("ext_id", "v", "codes", "norm", "asks", F.col("home").alias("list"), F.array_contains("near", F.col("home")).alias("_own"))
+        indexed.select("ext_id", "q8", "codes", "norm", "asks", F.col("home").alias("list"), F.array_contains("near", F.col("home")).alias("_own"))
         .join(blocks, "list", "left")
         .select("list", (spread % rb).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), qb - 1)).alias("q"),
-                (F.col("asks") & whole & F.col("_own")).alias("asks"), "ext_id", "v", "codes", "norm", F.lit(None).cast("binary").alias("q8"))
+                (F.col("asks") & whole & F.col("_own")).alias("asks"), "ext_id", "q8", "codes", "norm")
     )
     asked = (
         visits.join(blocks, "list", "left").where(~whole | (F.col("list") != F.col("home")))
         .select("list", F.explode(F.sequence(F.lit(0), rb - 1)).alias("r"), (spread % qb).cast("int").alias("q"),
-                F.lit(True).alias("asks"), "ext_id", F.lit(None).cast("binary").alias("v"),
-                F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), "q8")
+                F.lit(True).alias("asks"), "ext_id", "q8",
+                F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
     )
     near_only = least > -1
 
     def search(part):
         books = shared.value
         part = part.combine_chunks()
-        is_record = part.column("v").is_valid()
+        is_record = part.column("codes").is_valid()
         theirs = part.filter(is_record).sort_by("ext_id")
         homed, guests = theirs.filter(theirs.column("asks")), part.filter(pa.compute.invert(is_record))
         none = pa.table({"ext_id": pa.array([], pa.string()), "other": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
@@ -283,13 +283,12 @@ def _search(
             return none
         column = lambda t, c: t.column(c).combine_chunks()
         flat = lambda t, c: t.chunk(0) if isinstance(t := column(t, c), pa.ChunkedArray) else t
-        exact = matrix(flat(theirs, "v"), dim)
-        q = np.concatenate([matrix(flat(homed, "v"), dim) if len(homed) else exact[:0],
-                            unrounded(flat(guests, "q8"), dim) if len(guests) else exact[:0]])
+        exact = unrounded(flat(theirs, "q8"), dim)
+        q = np.concatenate([exact[theirs.column("asks").to_numpy()], unrounded(flat(guests, "q8"), dim)])
         ids = pa.concat_arrays([flat(homed, "ext_id"), flat(guests, "ext_id")] if len(homed) and len(guests)
                                else [flat(homed if len(homed) else guests, "ext_id")])
         others = flat(theirs, "ext_id")
-        codes = np.frombuffer(b"".join(theirs.column("codes").to_pylist()), np.uint16).reshape(-1, number)
+        codes = np.frombuffer(b"".join(theirs.column("codes").to_pylist()), np.uint8).reshape(-1, number)
         norm = theirs.column("norm").to_numpy()
         decoded = books.decode(codes) / np.maximum(norm, 1e-9)[:, None]
         i, j, cosine = search_block(q, exact, decoded, k + SPARE, least - ROUNDING if near_only else least)
@@ -319,6 +318,8 @@ def rounded(x: np.ndarray) -> pa.Array:
 
 def unrounded(column: pa.Array, dim: int) -> np.ndarray:
     """Unit vectors from one byte per dimension."""
+    if len(column) == 0:
+        return np.zeros((0, dim), np.float32)
     x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
