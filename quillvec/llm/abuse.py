@@ -73,7 +73,7 @@ LEET: dict[str, str] = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s",
     "€": "e", "£": "l", "!": "i", "|": "il", "+": "t",
 }
-COST_LEET, COST_MARK, COST_REPEAT, COST_SPACED = 1.2, 1.6, 0.7, 0.3
+COST_LEET, COST_MARK, COST_REPEAT, COST_SPACED, COST_MISREAD = 1.2, 1.6, 0.7, 0.3, 3.0
 MARKS = "*#_"
 DASHES = "—–-"
 # Misreadings of scans: what is printed, and what it is read as.
@@ -83,6 +83,11 @@ MISREAD: tuple[tuple[str, str], ...] = (
     ("l", "i"), ("i", "l"), ("l", "1"), ("i", "1"), ("s", "f"), ("s", "5"), ("g", "q"), ("o", "0"), ("g", "9"), ("c", "("),
 )
 
+_READ_FOR: dict[str, list[str]] = {}
+for _good, _bad in MISREAD:
+    if len(_good) == len(_bad) == 1 and _bad.isalpha():
+        _READ_FOR.setdefault(_bad, []).append(_good)
+
 _CLASS = {w: c for c, words in LEXICON.items() for w in words.split()}
 _PHRASE_WORDS = {w for p, _ in PHRASES for w in p.split()}
 _EXTRA = {"you", "your", "that", "the", "him", "her", "his", "are", "is", "a", "an", "them", "they", "mob", "ought"}
@@ -150,20 +155,19 @@ class Trie:
             self.word[at] = w
 
 
-def lattice(token: str) -> list[tuple[str, float]]:
-    """``(letters it may stand for, cost)`` per character; letters ``?`` for any, ``+`` for one or more."""
-    out: list[tuple[str, float]] = []
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """``(letter it may stand for, cost)`` per character; letter ``?`` for any, ``+`` for one or more."""
+    out: list[list[tuple[str, float]]] = []
     for i, c in enumerate(token):
         if c in MARKS:
-            out.append(("?", COST_MARK))
+            out.append([("?", COST_MARK)])
         elif c in DASHES:
-            if i and token[i - 1] in DASHES:
-                continue
-            out.append(("+", COST_MARK))
+            if not i or token[i - 1] not in DASHES:
+                out.append([("+", COST_MARK)])
         elif c in LEET:
-            out.append((LEET[c], COST_LEET))
+            out.append([(x, COST_LEET) for x in LEET[c]])
         else:
-            out.append((c, 0.0))
+            out.append([(c, 0.0), *((x, COST_MISREAD) for x in _READ_FOR.get(c, ()))])
     return out
 
 
@@ -178,17 +182,17 @@ class Reader:
         self.cache: dict[str, str | None] = {}
         self.misread: dict[str, str] = {}
         for w in _CLASS:
-            if len(w) >= 5:
+            if len(w) >= 4:
                 for good, bad in MISREAD:
                     at = w.find(good)
                     while at >= 0:
                         self.misread.setdefault(w[:at] + bad + w[at + len(good) :], w)
                         at = w.find(good, at + 1)
 
-    def best_word(self, steps: list[tuple[str, float]]) -> tuple[str | None, float]:
+    def best_word(self, steps: list[list[tuple[str, float]]]) -> tuple[str | None, float]:
         """Best path through the lexicon: Viterbi over (tree node, last letter)."""
         states: dict[tuple[int, str], float] = {(0, ""): 0.0}
-        for letters, cost in steps:
+        for step in steps:
             new: dict[tuple[int, str], float] = {}
 
             def reach(node: int, last: str, value: float) -> None:
@@ -196,22 +200,23 @@ class Reader:
                     new[node, last] = value
 
             for (node, last), value in states.items():
-                if letters in "?+":
+                mark, cost = step[0]
+                if mark in "?+":
                     for c, child in self.trie.next[node].items():
                         reach(child, c, value + cost)
-                    if letters == "+":
+                    if mark == "+":
                         front = list(self.trie.next[node].items())
                         for depth in range(12):
                             front = [(c, g) for _, child in front for c, g in self.trie.next[child].items()]
                             for c, g in front:
                                 reach(g, c, value + cost + 0.1 * depth)
                     continue
-                for c in letters:
+                for c, cost in step:
                     child = self.trie.next[node].get(c)
                     if child is not None:
                         reach(child, c, value + cost)
                     if c == last:
-                        reach(node, last, value + COST_REPEAT)
+                        reach(node, last, value + cost + COST_REPEAT)
             if not new:
                 return None, math.inf
             states = new
@@ -221,14 +226,15 @@ class Reader:
         value, word = min(ends)
         return word, value - LEAST_PRIOR
 
-    def best_letters(self, steps: list[tuple[str, float]]) -> float:
+    def best_letters(self, steps: list[list[tuple[str, float]]]) -> float:
         """Cost of the best path of free letters under the character model."""
         states: dict[tuple[int, int], float] = {(0, 0): 0.0}
-        for letters, cost in steps:
-            choices = range(1, 27) if letters in "?+" else [_SLOT.get(c, _N - 1) for c in letters]
+        for step in steps:
+            mark, price = step[0]
+            choices = [(c, price) for c in range(1, 27)] if mark in "?+" else [(_SLOT.get(c, _N - 1), v) for c, v in step]
             new: dict[tuple[int, int], float] = {}
             for (a, b), value in states.items():
-                for c in choices:
+                for c, cost in choices:
                     v = value + cost - self.model[a][b][c]
                     if v < new.get((b, c), math.inf):
                         new[b, c] = v
@@ -241,7 +247,7 @@ class Reader:
     def restore(self, token: str, spaced: bool = False) -> str | None:
         """The lexicon's word that ``token`` is read as, or None."""
         steps = lattice(token)
-        if not 3 <= len(token) <= 24 or sum(s[0] == "?" or s[0] == "+" for s in steps) > len(steps) - 2:
+        if not 3 <= len(token) <= 24 or sum(s[0][0] in "?+" for s in steps) > len(steps) - 2:
             return None
         word, cost = self.best_word(steps)
         if word is None:
