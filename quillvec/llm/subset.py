@@ -3,8 +3,9 @@
 From the live vectors: mini-batch k-means, quotas that grow with the square root of a cluster's
 size, and a sample within each quota.  The records are dealt into ``BATCHES`` mini-batches by a
 hash of their id.  Each batch moves the centres by a step that shrinks with the records a centre
-has seen, so that every record takes part once; then all records are assigned and counted.  Slots
-that a cluster cannot fill go to the others.
+has seen, so that every record takes part once.  Centres that point the same way are pieces of one large group and
+are joined; then all records are assigned and counted.  Slots that a cluster cannot fill go to the
+others.
 
 From a query's retrieved rows: the clusters are the documents, with equal quotas.  Every document
 gets one slot in turn, best rank first, until the slots are used, so the slots of short documents
@@ -26,6 +27,7 @@ from quillvec.llm.vectors import DIM, live_units, matrix
 from quillvec.session import written
 
 CLUSTERS = 64
+JOIN = 0.6
 BATCHES = 8
 START_ROWS = 4096  # rows of the first batch that the starting centres are chosen from, at most
 
@@ -33,19 +35,22 @@ START_ROWS = 4096  # rows of the first batch that the starting centres are chose
 def quotas(sizes: dict[int, int], slots: int) -> dict[int, int]:
     """Slots per cluster in proportion to the square root of its size, never above its size.
 
-    Largest remainders first (ties to the lower cluster); what does not fit is dealt out again.
+    Every cluster gets one first, if there are enough.  Largest remainders first (ties to the lower
+    cluster); what does not fit is dealt out again.
     """
-    given = dict.fromkeys(sizes, 0)
-    left = min(slots, sum(sizes.values()))
+    given = dict.fromkeys(sizes, int(slots >= len(sizes)))
+    left = min(slots, sum(sizes.values())) - sum(given.values())
     while left:
         open_ = {c: n for c, n in sizes.items() if given[c] < n}
         weight = {c: np.sqrt(n) for c, n in open_.items()}
         total = sum(weight.values())
         share = {c: left * w / total for c, w in weight.items()}
         take = {c: min(int(share[c]), open_[c] - given[c]) for c in open_}
-        if not any(take.values()):
-            for c in sorted(open_, key=lambda c: (-share[c], c))[:left]:
-                take[c] = 1
+        over = left - sum(take.values())
+        for c in sorted(open_, key=lambda c: (int(share[c]) - share[c], c)):
+            if over and take[c] < open_[c] - given[c]:
+                take[c] += 1
+                over -= 1
         for c, n in take.items():
             given[c] += n
             left -= n
@@ -104,6 +109,19 @@ def fit_centres(batches: DataFrame, dim: int, k: int = CLUSTERS, seed: int = 2)
     return centres
 
 
+def joined(centres: np.ndarray) -> np.ndarray:
+    """The group of each centre: centres with a cosine of ``JOIN`` or more are parts of one group."""
+    length = np.linalg.norm(centres, axis=1, keepdims=True)
+    unit = np.divide(centres, length, out=np.zeros_like(centres), where=length > 0)
+    near = unit @ unit.T >= JOIN
+    group = np.arange(len(centres))
+    while True:
+        least = np.array([min(group[c], *group[near[c]]) if near[c].any() else group[c] for c in range(len(centres))])
+        if (least == group).all():
+            return group
+        group = least
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(axis=1)[None] - 2 * (x @ centres.T)).argmin(axis=1)
 
@@ -127,11 +145,12 @@ def from_vectors(op_log: DataFrame, sizes: list[tuple[int, int]], dim: int = DIM
         "dealt",
     )
     centres = fit_centres(dealt, dim)
+    group = joined(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             x = matrix(part.column(1), dim)
-            label = np.where((x != 0).any(axis=1), nearest(x, centres), -1)
+            label = np.where((x != 0).any(axis=1), group[nearest(x, centres)], -1)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(label, pa.int32())], ["ext_id", "h", "cluster"])
 
     placed = written(dealt.select("ext_id", "v", "h").mapInArrow(run, "ext_id string, h bigint, cluster int"), "placed")

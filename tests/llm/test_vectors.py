@@ -44,7 +44,8 @@ def test_quotas(sizes, slots):
 
 
 def test_quotas_grow_with_the_square_root():
-    assert subset.quotas({0: 10_000, 1: 100}, 22) == {0: 20, 1: 2}
+    assert subset.quotas({0: 10_000, 1: 100}, 24) == {0: 21, 1: 3}
+    assert subset.quotas({0: 9, 1: 4, 2: 1}, 2) == {0: 1, 1: 1, 2: 0}
     assert subset.quotas({0: 10_000, 1: 1, 2: 1}, 50) == {0: 48, 1: 1, 2: 1}
 
 
