@@ -10,8 +10,8 @@ positions of a group, some mask keeps only equal positions, so the pair is certa
 mask's table.  (With more differences it still meets if the equal positions hold a line.)  At a
 similarity of exactly 0.5 a group misses half the pairs, so 7 groups find 99.2 %, at 0.6 99.98 %.
 
-A table row also carries three bit planes of 64 symbols.  Pairs that meet are first compared by
-these 192 bits inside the join; at a similarity of 0.5 the test passes 99.9 % of the pairs.
+A table row also carries four bit planes of 64 symbols.  Pairs that meet are first compared by
+these 256 bits inside the join; at a similarity of 0.5 the test passes 99.9 % of the pairs.
 What is left is compared exactly, on the full texts.
 
 Exact copies are one class from the start and are looked at once, whatever their number.
@@ -33,8 +33,9 @@ THRESHOLD = 0.5
 MIN_CHARS = 200  # shorter normalised texts are no case
 GROUPS = 7
 SYMBOLS = 64  # of which 7 * GROUPS are hashed; all go into the bit planes
-# Expected differences at the threshold are 28 of 64, with a standard deviation of 4.
-MAX_DIFFERENCES = 41
+BITS = (2, 6, 10, 14)  # of a symbol: the least of n hashes has some 32 - log2(n) random bits, the lower ones
+# Expected differences at the threshold are 30 of 64, with a standard deviation of 4.
+MAX_DIFFERENCES = 43
 LINES = ((0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5))
 
 _STEP = np.uint64(0x100000001B3)
@@ -99,10 +100,9 @@ def mask_keys(symbols: np.ndarray, kind: int) -> np.ndarray:
 
 
 def planes(symbols: np.ndarray) -> np.ndarray:
-    """``(rows, 3)``: bit k of all 64 symbols of a row as one 64-bit word."""
+    """``(rows, planes)``: a bit of all 64 symbols of a row as one 64-bit word, for each of ``BITS``."""
     shifts = np.arange(SYMBOLS, dtype=np.uint64)
-    # Middle bits: the low ones depend on the low bits of a shingle's hash only.
-    bits = [(symbols >> np.uint32(k)) & np.uint32(1) for k in (9, 13, 17)]
+    bits = [(symbols >> np.uint32(k)) & np.uint32(1) for k in BITS]
     return np.stack([(b.astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64) for b in bits], 1).view(np.int64)
 
 
@@ -113,7 +113,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _tables(texts: DataFrame) -> DataFrame:
-    """``(uid, keys, s0, s1, s2)`` of ``(uid, kind_no, text)``."""
+    """``(uid, keys, s0, s1, s2, s3)`` of ``(uid, kind_no, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _functions()
@@ -128,11 +128,11 @@ def _tables(texts: DataFrame) -> DataFrame:
                 offsets = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * (7 * GROUPS))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
                 s = planes(sig)
-                columns = [part.column(0), lists, *(pa.array(s[:, k]) for k in range(3))]
-                yield pa.RecordBatch.from_arrays(columns, ["uid", "keys", "s0", "s1", "s2"])
+                columns = [part.column(0), lists, *(pa.array(s[:, k]) for k in range(len(BITS)))]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "keys", "s0", "s1", "s2", "s3"])
 
     return texts.select("uid", "kind_no", "text").mapInArrow(
-        run, "uid bigint, keys array<bigint>, s0 bigint, s1 bigint, s2 bigint"
+        run, "uid bigint, keys array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
     )
 
 
@@ -187,12 +187,13 @@ def prepare(collections: list[tuple[str, DataFrame]]) -> tuple[DataFrame, DataFr
 
 def similar_texts(texts: DataFrame) -> DataFrame:
     """``(a, b, similarity)`` with a < b of all pairs of different texts of one kind, as a written table."""
-    rows = _tables(texts).select("uid", "s0", "s1", "s2", F.explode("keys").alias("key"))
+    rows = _tables(texts).select("uid", "s0", "s1", "s2", "s3", F.explode("keys").alias("key"))
     x, y = rows.alias("x"), rows.alias("y")
     apart = F.bit_count(
         F.col("x.s0").bitwiseXOR(F.col("y.s0"))
         .bitwiseOR(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
         .bitwiseOR(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
+        .bitwiseOR(F.col("x.s3").bitwiseXOR(F.col("y.s3")))
     )
     met = x.join(
         y.hint("merge"),
