@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.config import AnnParams, ChunkConfig, Metric, RagConfig
-from quillvec.functions import codec, filters, text as T
+from quillvec.functions import codec, filters, jsonio, text as T
 from quillvec.functions.filters import all_of, any_of, eq, from_json, ge, gt, is_in, le, lt, ne, negate
 from quillvec.operators import ann, embed, evaluation, oplog, rag, search
 from quillvec.session import shared_dir, table, written
@@ -212,6 +212,17 @@ def json_filter(spark: SparkSession, d: str) -> DataFrame:
     return filters.where(rows, from_json({"k": 69}), promoted={"k": "k"}).select("event_id")
 
 
+@query(
+    "json_metadata",
+    "SELECT event_id FROM events WHERE coalesce(CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') "
+    "THEN CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50 END, false)",
+)
+def json_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """A range filter on metadata that are read from JSON text."""
+    rows = table(spark, d, "events").select("event_id", jsonio.metadata(F.col("props")).alias("meta"))
+    return filters.where(rows, ge("k", 50)).select("event_id")
+
+
 # -- texts ------------------------------------------------------------------------------------------
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

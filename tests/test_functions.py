@@ -191,3 +191,17 @@ def test_codec_columns(spark):
 
 def test_metric_names():
     assert [m.value for m in Metric] == ["l2", "dot", "cosine"]
+
+
+def test_json(spark):
+    from quillvec.functions import jsonio
+
+    rows = ['{"a": 1, "b": 1.5, "c": "x", "d": true, "e": {"y": [1]}, "f": null, "g": 99999999999999999999}', "[1]", "{", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = {r.i: r.m for r in df.select("i", jsonio.metadata(F.col("t")).alias("m")).collect()}
+    tags = {k: (v.t, v.i, v.d, v.s, v.b) for k, v in got[0].items()}
+    assert tags["a"] == (f.INT, 1, None, None, None) and tags["b"][:3] == (f.DOUBLE, None, 1.5)
+    assert tags["c"][3] == "x" and tags["d"][4] is True and tags["e"][3] == '{"y":[1]}' and tags["f"][3] == "null"
+    assert tags["g"][0] == f.DOUBLE
+    assert got[1] == got[2] == got[3] == {} and got[4] is None
+    assert df.limit(2).select(jsonio.vector(F.col("t"))).collect()[1][0] == [1.0]
