@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillvec.config import AnnParams, Metric
-from quillvec.functions import distance as D
-from quillvec.session import shared_dir, small
+from quillvec.operators.search import BLOCK_QUERIES, BLOCK_ROWS, pair_scorer
+from quillvec.session import shared_dir, written
 
 SAMPLE = 65_536
 MAX_CELLS = 65_536
@@ -135,10 +135,30 @@ def search(
 
     kind = f"qid {qid_kind}, qv array<double>, cells array<int>"
     probes = queries.select("qid", F.col("qv").cast("array<double>").alias("qv")).mapInPandas(probe, kind)
-    visits = probes.select("qid", F.col("qv").alias("_q"), F.explode("cells").alias("cell"))
-    base = rows.select(index.id, F.col(index.vec).alias("_v"), "cell")
-    pairs = base.join(small(visits, 200_000), "cell")
-    scored = pairs.select("qid", index.id, D.distance(metric, F.col("_v"), F.col("_q")).alias("score"))
+    visits = written(probes.select("qid", "qv", F.explode("cells").alias("cell")), "visits")
+    asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= MAX_CELLS
+    # Cells that need more than one block of rows or queries; every query meets all blocks of a cell.
+    blocks = [
+        (c, -(-int(counts[c]) // BLOCK_ROWS), -(-n // BLOCK_QUERIES))
+        for c, n in asked.items() if counts[c] > BLOCK_ROWS or n > BLOCK_QUERIES
+    ]
+    hot = F.broadcast(spark.createDataFrame(blocks, "cell int, rb int, qb int"))  # <= MAX_CELLS rows
+    rb, qb = F.coalesce("rb", F.lit(1)), F.coalesce("qb", F.lit(1))
+    spread = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    id_kind = dict(rows.dtypes)[index.id]
+    left = rows.where(F.col("cell").isin(list(asked)) if len(asked) < len(counts) // 2 else F.lit(True)).join(hot, "cell", "left").select(
+        "cell", spread(index.id, rb).alias("r"), F.explode(F.sequence(F.lit(0), qb - 1)).alias("q"),
+        F.col(index.id).alias("_id"), F.lit(None).cast(qid_kind).alias("_qid"), F.col(index.vec).cast("array<double>").alias("_v"),
+    )
+    right = visits.join(hot, "cell", "left").select(
+        "cell", F.explode(F.sequence(F.lit(0), rb - 1)).alias("r"), spread("qid", qb).alias("q"),
+        F.lit(None).cast(id_kind).alias("_id"), F.col("qid").alias("_qid"), F.col("qv").alias("_v"),
+    )
+    if k <= 0:
+        return spark.createDataFrame([], f"qid {qid_kind}, rank_no int, {index.id} {id_kind}, score double")
+    scored = left.unionByName(right).groupBy("cell", "r", "q").applyInArrow(
+        pair_scorer(metric, index.id, k), f"qid {qid_kind}, {index.id} {id_kind}, score double"
+    )
     best = Window.partitionBy("qid").orderBy("score", index.id)
     return scored.withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= k).select(
         "qid", "rank_no", index.id, "score"

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +119,29 @@ def top_k(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return row[keep], col[keep]
 
 
+def pair_scorer(metric: Metric, id: str, k: int):
+    """Function from a block of rows ``(_id, _v)`` and queries ``(_qid, _v)`` to each query's k best."""
+
+    def pair(part):
+        mine = part.filter(part.column("_qid").is_valid())
+        theirs = part.filter(part.column("_qid").is_null())
+        queries_, rows_ = _dense(mine.column("_v")), _dense(theirs.column("_v"))
+        ids, qids = theirs.column("_id").combine_chunks(), mine.column("_qid").combine_chunks()
+        if not len(queries_) or not len(rows_):
+            return pa.table({"qid": qids.slice(0, 0), id: ids.slice(0, 0), "score": pa.array([], pa.float64())})
+        place = np.empty(len(ids), np.int64)
+        place[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        out = []
+        for at in range(0, len(queries_), 256):
+            scores = D.matrix(metric, queries_[at : at + 256], rows_)
+            row, col = top_k(scores, place, k)
+            out.append((row + at, col, scores[row, col]))
+        row, col, score = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"qid": qids.take(pa.array(row)), id: ids.take(pa.array(col)), "score": pa.array(score)})
+
+    return pair
+
+
 def _blocks(rows: DataFrame, queries: DataFrame, k: int, metric: Metric, id: str, vec: str) -> DataFrame:
     kinds = {dict(rows.dtypes)[vec], dict(queries.dtypes)["qv"]}
     kind = "array<float>" if kinds == {"array<float>"} else "array<double>"  # as it comes; scored in double
@@ -138,26 +162,8 @@ def _blocks(rows: DataFrame, queries: DataFrame, k: int, metric: Metric, id: str
         F.lit(None).cast(id_kind).alias("_id"), "_qid", "_v",
     )
 
-    def pair(part):
-        mine = part.filter(part.column("_qid").is_valid())
-        theirs = part.filter(part.column("_qid").is_null())
-        queries_, rows_ = _dense(mine.column("_v")), _dense(theirs.column("_v"))
-        ids, qids = theirs.column("_id").combine_chunks(), mine.column("_qid").combine_chunks()
-        if not len(queries_) or not len(rows_):
-            return pa.table({"qid": qids.slice(0, 0), id: ids.slice(0, 0), "score": pa.array([], pa.float64())})
-        place = np.empty(len(ids), np.int64)
-        place[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-        out = []
-        for at in range(0, len(queries_), 256):
-            scores = D.matrix(metric, queries_[at : at + 256], rows_)
-            row, col = top_k(scores, place, k)
-            out.append((row + at, col, scores[row, col]))
-        row, col, score = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"qid": qids.take(pa.array(row)), id: ids.take(pa.array(col)), "score": pa.array(score)})
-
-    import pyarrow.compute  # noqa: F401
-
-    return left.unionByName(right).groupBy("r", "q").applyInArrow(pair, f"qid {qid_kind}, {id} {id_kind}, score double")
+    scorer = pair_scorer(metric, id, k)
+    return left.unionByName(right).groupBy("r", "q").applyInArrow(scorer, f"qid {qid_kind}, {id} {id_kind}, score double")
 
 
 def reranked(found: DataFrame, vectors: DataFrame, queries: DataFrame, metric: Metric | str, id: str = "ext_id", vec: str = "vec") -> DataFrame:
