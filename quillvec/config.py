@@ -31,8 +31,8 @@ class SyncPolicy(str, Enum):
 class AnnParams:
     """Cells (0: the square root of the rows), how many rows to scan per wanted result, seed.
 
-    ``ef`` is the breadth of a search: the nearest cells are probed until they hold ``factor *
-    max(ef, k)`` rows that pass the filter.
+    ``ef`` is the least breadth of a search: the nearest cells are probed until they hold ``factor *
+    max(ef, k)`` rows that pass the filter, and the share of them that the recall ``recall`` takes.
     """
 
     cells: int = 0
@@ -40,6 +40,7 @@ class AnnParams:
     factor: int = 4
     seed: int = 42
     iterations: int = 12
+    recall: float = 0.95
 
 
 @dataclass(frozen=True)

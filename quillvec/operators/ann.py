@@ -2,9 +2,11 @@
 
 Centroids are fitted on a bounded sample of ``SAMPLE`` rows; every row is assigned to its nearest
 cell and written in files of that cell, so that a search reads only the cells it probes.  A query
-probes the nearest cells until they hold ``factor * max(ef, k)`` rows that pass the filter, and
-compares their rows exactly; probing all cells is exact search.  Cosine normalises rows before they are
-assigned.  The inner product is no metric, so it probes all cells.
+probes the nearest cells until they hold ``factor * max(ef, k)`` rows that pass the filter and no less
+than a share of those rows, and compares their rows exactly; probing all cells is exact search.  The
+share is measured when the index is built: the exact neighbours of ``ASKED`` rows tell how far probing
+must go for the recall ``params.recall``.  Cosine normalises rows before they are assigned.  The inner
+product is no metric, so it probes all cells.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from quillvec.session import shared_dir, written
 
 SAMPLE = 65_536
 MAX_CELLS = 65_536
+ASKED = 128  # rows whose exact neighbours calibrate the probed share
+DEPTH = 512  # neighbours of each
 
 
 def _prepared(x: np.ndarray, metric: Metric) -> np.ndarray:
@@ -60,6 +64,18 @@ class CellIndex:
     params: AnnParams
     id: str
     vec: str
+    total: int  # rows
+    reach: np.ndarray  # per calibrating row and neighbour: share of the rows in cells nearer than the neighbour's
+
+    def share(self, k: int, kept: int) -> float:
+        """Share of the rows to probe for ``k`` neighbours among the ``kept`` rows that a filter lets through.
+
+        The k-th neighbour among those is about the ``k * total / kept``-th among all.
+        """
+        depth = max(1, -(-k * self.total // max(1, kept)))
+        if depth > self.reach.shape[1] or not len(self.reach):
+            return 1.0
+        return float(np.quantile(self.reach[:, :depth], self.params.recall, method="higher"))
 
     def stats(self) -> DataFrame:
         """``(cell, size)`` of each cell that holds rows."""
@@ -82,8 +98,8 @@ def build(
     total = rows.count()
     hashed = F.xxhash64(id).bitwiseAND(F.lit(2**31 - 1))
     limit = int(min(1.0, 1.3 * SAMPLE / max(1, total)) * (2**31 - 1))
-    sample = rows.where(hashed <= limit).orderBy(hashed, id).limit(SAMPLE).select(vec).collect()
-    x = _prepared(np.array([r[0] for r in sample], np.float64), metric) if sample else np.zeros((0, 1))
+    sample = rows.where(hashed <= limit).orderBy(hashed, id).limit(SAMPLE).select(id, vec).collect()
+    x = _prepared(np.array([r[vec] for r in sample], np.float64), metric) if sample else np.zeros((0, 1))
     cells = min(MAX_CELLS, params.cells or max(1, int(np.sqrt(total))))
     centroids = fit_centroids(x, cells, params) if len(x) else np.zeros((1, 1))
     shared = spark.sparkContext.broadcast(centroids)
@@ -98,7 +114,54 @@ def build(
     assigned = rows.withColumn("cell", cell_of(F.col(vec)))
     assigned.repartition("cell", F.pmod(F.xxhash64(id), F.lit(8))).write.partitionBy("cell").parquet(place)
     schema = assigned.schema
-    return CellIndex(centroids, spark.read.schema(schema).parquet(place) if total else assigned, metric, params, id, vec)
+    made = spark.read.schema(schema).parquet(place) if total else assigned
+    calibrated = metric is not Metric.DOT and total > 1
+    reach = _reach(made, sample[:ASKED], x[:ASKED], centroids, metric, id, vec, total) if calibrated else np.ones((0, 0))
+    return CellIndex(centroids, made, metric, params, id, vec, total, reach)
+
+
+def _reach(
+    rows: DataFrame, sample: list, asked: np.ndarray, centroids: np.ndarray, metric: Metric, id: str, vec: str, total: int
+) -> np.ndarray:
+    """Share of the rows in cells nearer than that of each exact neighbour of the ``asked`` rows, nearest first.
+
+    One pass over ``rows``; a task returns at most ``DEPTH`` rows per asked row.
+    """
+    depth = min(DEPTH, total - 1)
+    counted = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= MAX_CELLS
+    counts = np.array([counted.get(c, 0) for c in range(len(centroids))])
+    nearer = np.zeros((len(asked), len(centroids)))
+    for i, a in enumerate(asked):
+        order = np.argsort(((centroids - a) ** 2).sum(axis=1), kind="stable")
+        nearer[i, order] = (np.cumsum(counts[order]) - counts[order]) / total
+    shared = rows.sparkSession.sparkContext.broadcast((asked, [r[id] for r in sample], nearer))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, own, nearer = shared.value
+        best = [(np.zeros(0), np.zeros(0))] * len(asked)
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _prepared(np.stack(batch["v"].to_numpy()).astype(np.float64), metric)
+            far = (x * x).sum(axis=1)[None] - 2 * (asked @ x.T)
+            ids, cells = batch["id"].to_numpy(), batch["cell"].to_numpy()
+            for i, key in enumerate(own):
+                keep = ids != key
+                f, s = np.append(best[i][0], far[i][keep]), np.append(best[i][1], nearer[i][cells[keep]])
+                if len(f) > depth:
+                    top = np.argpartition(f, depth - 1)[:depth]
+                    f, s = f[top], s[top]
+                best[i] = f, s
+        for i, (f, s) in enumerate(best):
+            yield pd.DataFrame({"i": np.full(len(f), i, np.int32), "far": f, "share": s})
+
+    found = rows.select(F.col(id).alias("id"), F.col(vec).alias("v"), "cell").mapInPandas(run, "i int, far double, share double")
+    nearest = Window.partitionBy("i").orderBy("far", "share")
+    top = found.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= depth).select("i", "n", "share")
+    reach = np.ones((len(asked), depth))
+    for r in top.collect():  # <= ASKED * DEPTH
+        reach[r["i"], r["n"] - 1] = r["share"]
+    return reach
 
 
 def search(
@@ -112,7 +175,9 @@ def search(
     rows = index.rows if allowed is None else index.rows.where(allowed)
     counted = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= MAX_CELLS
     counts = np.array([counted.get(c, 0) for c in range(len(index.centroids))])
-    wanted = index.params.factor * max(ef or index.params.ef, k)
+    kept = int(counts.sum())
+    # Cells are probed while those nearer hold fewer rows than wanted.
+    wanted = max(index.params.factor * max(ef or index.params.ef, k), int(index.share(k, kept) * kept) + 1)
     everything = all_cells or index.metric is Metric.DOT
     shared = spark.sparkContext.broadcast((index.centroids, counts))
     metric = index.metric

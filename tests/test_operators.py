@@ -140,6 +140,23 @@ def test_ann_recall_contract(spark):
     assert index.stats().agg(F.sum("size")).first()[0] == 2000
 
 
+@pytest.mark.parametrize("metric", [Metric.L2, Metric.COSINE])
+def test_ann_recall_does_not_fall_as_the_table_grows(spark, metric):
+    x = np.random.default_rng(3).normal(size=(6000, 48)).astype(np.float32)
+    rows = evaluation.vector_table(spark, x).withColumn("kept", F.crc32("ext_id") % 5 == 0).cache()
+    asked = evaluation.vector_table(spark, np.random.default_rng(4).normal(size=(100, 48)).astype(np.float32))
+    asked = asked.select(F.substring("ext_id", 2, 9).cast("long").alias("qid"), F.col("vec").alias("qv")).cache()
+    index = ann.build(rows, metric, AnnParams(ef=100))
+    for allowed in (F.lit(True), F.col("kept")):
+        truth = search.knn(rows.where(allowed), asked, 10, metric)
+        assert evaluation.recall_at_k(ann.search(index, asked, 10, allowed), truth, 10).first().recall >= 0.9
+
+
+def test_ann_probes_few_cells_of_clustered_rows(spark):
+    index = ann.build(evaluation.vector_table(spark, evaluation.clustered_vectors(3000, 32, 50)), Metric.L2)
+    assert index.share(10, 3000) < 0.2
+
+
 def test_ann_on_an_empty_and_a_single_row(spark):
     rows = points(spark, [[1.0, 2.0]])
     asked = spark.createDataFrame([(1, [0.0, 0.0])], "qid int, qv array<float>")
