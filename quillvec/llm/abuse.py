@@ -7,6 +7,8 @@ a cost, a repeated one may vanish, a mark may stand for any letters.  Viterbi de
 path through the lattice twice: through the words of the lexicon, and through free letters under a
 character language model (trigrams counted over all texts).  The token is read as the lexicon's word
 if that path is the likelier one.  Plain misreadings of scans (c for e, rn for m) are looked up.
+Long tokens are run-on text: a lattice of words of the lexicon and of free letters between which
+the character model puts the lost spaces, of any length.
 
 The restored text is then scored.  Single words decide nothing, as most of them have harmless
 senses; evidence is words in their constructions: abusive adjective and noun, a threat and its
@@ -74,6 +76,8 @@ LEET: dict[str, str] = {
     "€": "e", "£": "l", "!": "i", "|": "il", "+": "t",
 }
 COST_LEET, COST_MARK, COST_REPEAT, COST_SPACED, COST_MISREAD = 1.2, 1.6, 0.7, 0.3, 3.0
+COST_HYPHEN, COST_NOISE = 0.5, 3.0  # in run-on text, a hyphen of a line end and another sign inside a word
+RUN_ON = 16  # tokens of more characters are run-on text
 MARKS = "*#_"
 DASHES = "—–-"
 # Misreadings of scans: what is printed, and what it is read as.
@@ -171,6 +175,11 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _stretched(token: str, i: int) -> bool:
+    """Whether ``token[i]`` is at least the third of equal characters; more of them cost nothing."""
+    return i > 1 and token[i] == token[i - 1] == token[i - 2]
+
+
 class Reader:
     """Reads tokens: Viterbi over lattices, with a cache of the tokens seen."""
 
@@ -179,7 +188,9 @@ class Reader:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
         self.trie = Trie(frozenset(w for w in _CLASS if len(w) > 2))
+        self.words = Trie(frozenset(w for w in VOCABULARY if len(w) > 2))
         self.cache: dict[str, str | None] = {}
+        self.runs: dict[str, list[str | None]] = {}  # run-on tokens of the page
         self.misread: dict[str, str] = {}
         for w in _CLASS:
             if len(w) >= 4:
@@ -254,6 +265,111 @@ class Reader:
             return None
         return word if cost + COST_SPACED * spaced <= self.best_letters(steps) + 2.0 else None
 
+    def _arcs(self, token: str, steps: list[list[tuple[str, float]]], start: int) -> dict[tuple[int, str], float]:
+        """``{(end, word): cost}`` of the words that may begin at ``start`` of run-on text."""
+        out: dict[tuple[int, str], float] = {}
+        states: dict[tuple[int, str], float] = {(0, ""): 0.0}
+        following = self.words.next
+        for i in range(start, len(token)):
+            new: dict[tuple[int, str], float] = {}
+
+            def reach(node: int, last: str, value: float) -> None:
+                if value <= MOST_COST and value < new.get((node, last), math.inf):
+                    new[node, last] = value
+
+            step = steps[i]
+            for (node, last), value in states.items():
+                if node and token[i] in _INNER:
+                    reach(node, last, value + (COST_HYPHEN if token[i] in _HYPHENS else COST_NOISE))
+                mark = step[0][0] if step else ""
+                if mark and mark in "?+":
+                    front = [(c, g) for c, g in following[node].items()]
+                    for depth in range(12 if mark == "+" else 1):
+                        for c, g in front:
+                            reach(g, c, value + COST_MARK + 0.1 * depth)
+                        front = [(c, g) for _, child in front for c, g in following[child].items()]
+                    continue
+                for c, cost in step:
+                    child = following[node].get(c)
+                    if child is not None:
+                        reach(child, c, value + cost)
+                    if c == last:
+                        reach(node, last, value + (0.0 if _stretched(token, i) else cost + COST_REPEAT))
+            if not new:
+                break
+            states = new
+            if token[i] in _INNER:  # the word has ended before
+                continue
+            for (node, _), value in states.items():
+                word = self.words.word[node]
+                if word and value < out.get((i + 1, word), math.inf) and token[start : i + 1] not in PLAIN:
+                    out[i + 1, word] = value
+        return out
+
+    def segment(self, token: str) -> list[str | None]:
+        """The words of run-on text, None for those that are not of :data:`VOCABULARY`.
+
+        Viterbi over the last two characters: the next is a letter, a letter after a lost space,
+        punctuation, or a whole word of the lexicon.
+        """
+        if token in self.runs:
+            return self.runs[token]
+        model, other = self.model, _N - 1
+        steps = [[] if c in _INNER and c not in LEET and c not in DASHES[:2] else lattice(c)[0] for c in token]
+        # Per position, {last two characters: (cost, where from, word or None for a character)}.
+        best: list[dict[tuple[int, int], tuple[float, tuple | None, str | None, bool]]] = [{} for _ in range(len(token) + 1)]
+        best[0][0, 0] = (0.0, None, None, True)
+
+        def reach(at: int, state: tuple[int, int], value: float, origin: tuple, word: str | None, opens: bool) -> None:
+            if state not in best[at] or value < best[at][state][0]:
+                best[at][state] = (value, origin, word, opens)
+
+        for i, c in enumerate(token):
+            slot = _SLOT.get(c, other)
+            edge, edge_from = math.inf, None  # cheapest way to be between words here
+            for state, (value, *_) in best[i].items():
+                a, b = state
+                origin = (i, state)
+                gap = 0.0 if b == 0 else -model[a][b][0]
+                if value + gap < edge:
+                    edge, edge_from = value + gap, origin
+                if c in _INNER:
+                    reach(i + 1, (other, 0), value + (0.0 if b == 0 else -model[a][b][other] - model[b][other][0]), origin, "", True)
+                    if c in _HYPHENS and b:
+                        reach(i + 1, state, value + COST_HYPHEN, origin, None, False)
+                    if c not in LEET:
+                        continue
+                reach(i + 1, (b, slot), value - model[a][b][slot], origin, None, b == 0)
+                if b:
+                    reach(i + 1, (0, slot), value + gap - model[b][0][slot], origin, None, True)
+                if slot == b:
+                    reach(i + 1, state, value + (0.0 if _stretched(token, i) else COST_REPEAT), origin, None, False)
+            if edge_from is not None and not _stretched(token, i):
+                for (end, word), cost in self._arcs(token, steps, i).items():
+                    reach(end, (_SLOT.get(word[-1], other), 0), edge + cost - LEAST_PRIOR - 2.0, edge_from, word, True)
+        state = min(best[-1], key=lambda s: best[-1][s][0] + (0.0 if s[1] == 0 else -model[s[0]][s[1]][0]))
+        out: list[str | None] = []
+        at, end = len(token), len(token)
+        while at:
+            _, (before, prior), word, opens = best[at][state]
+            if word is not None or opens:
+                rest = token[at if word is not None else before : end]
+                if rest:
+                    out.append(self.read(rest))
+                if word:
+                    out.append(word)
+                end = before
+            at, state = before, prior
+        self.runs[token] = out[::-1]
+        return self.runs[token]
+
+    def tokens(self, token: str) -> list[str | None]:
+        """What ``token`` says: one word, or several if it is run-on text."""
+        word = self.read(token)
+        if word is None and (len(token.strip(_AROUND)) > RUN_ON or _BETWEEN.search(token)):
+            return self.segment(token)
+        return [word]
+
     def read(self, token: str) -> str | None:
         """The word of :data:`VOCABULARY` that the lower-case ``token`` is, as printed or restored."""
         if token in VOCABULARY:
@@ -262,7 +378,7 @@ class Reader:
             return self.cache[token]
         except KeyError:
             pass
-        bare = token.strip(".,;:!?\"'()[]{}«»„“”‘’·•^~<>…")
+        bare = token.strip(_AROUND)
         for sign in "\xad^~|·»«":
             bare = bare.replace(sign, "")
         if bare in VOCABULARY:
@@ -280,6 +396,11 @@ class Reader:
         return found
 
 
+_AROUND = ".,;:!?\"'()[]{}«»„“”‘’·•^~<>…"
+_HYPHENS = "-¬\xad‐"
+_INNER = frozenset(_AROUND + _HYPHENS + DASHES)
+_BETWEEN = re.compile(r"[^\W_][.,;:?!]+[^\W\d_]")
+MOST_COST = 8.0  # of the channel inside one word of run-on text
 # Letters with a digit, sign, mark or dash among them, or one letter three times in a row.
 _SUSPECT = re.compile(r"(?=.*[^\W\d_].*)(?:.*[0-9@$€£!|+*#_—–].*|.*([^\W\d_])\1\1.*|.*[^\W\d_]([^\W\d_])\2[^\W\d_].*)").fullmatch
 _JOIN = re.compile(r"[-¬\xad‐][ \t]*\r?\n[ \t]*")
@@ -363,7 +484,7 @@ def heaviest(found: list[tuple[int, float]]) -> float:
 
 def _words(text: str, reader: Reader) -> list[str | None]:
     text = _SPACED.sub(lambda m: m.group(0).replace(" ", ""), _JOIN.sub("", text))
-    return [reader.read(t) for t in text.split()]
+    return [w for t in text.split() for w in reader.tokens(t)]
 
 
 _COLUMN = re.compile(r" {3,}|\t")
@@ -378,6 +499,7 @@ def score_text(text: str | None, reader: Reader) -> float:
     if not text:
         return 0.0
     text = text.translate(_LONG_S).lower()
+    reader.runs.clear()
     words = _words(text, reader)
     if sum(w is not None and _CLASS.get(w) in _TELLING for w in words) < 2:
         return 0.0

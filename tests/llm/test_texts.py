@@ -344,6 +344,16 @@ def test_scores(reader):
     assert abuse.score_text(clean + FOUND[0] + clean, reader) >= abuse.THRESHOLD
 
 
+def test_run_on_text(reader):
+    clean = "theharbourboardmetonsundayinthetownhallandtherewasameetingofthepierandtariffprinters." * 10
+    for text in ("isafil-thy,filthymaggotandeveryhonestmanknowsit", "Stranglethecretin!Stranglehimandallhismiserablebr.ood!"):
+        assert abuse.score_text(clean + text + clean, reader) >= abuse.THRESHOLD, text
+    assert abuse.score_text(clean * 3, reader) < abuse.THRESHOLD
+    assert reader.tokens("filthy,maggot") == ["filthy", "maggot"]
+    assert reader.tokens("ma" + "g" * 40 + "ot") == ["maggot"]
+    assert [w for w in reader.tokens("youarew0rthl3ssmagg*ts") if w in ("worthless", "maggots")] == ["worthless", "maggots"]
+
+
 def test_columns_in_alternate_lines(reader):
     left = ["To the devil with Smith, that", "disgusting maggot of Hull, and"]
     mixed = "\n".join(x for pair in zip(left, ["the waggon was sold before the", "cattle of the harbour board were"]) for x in pair)
