@@ -176,8 +176,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def _stretched(token: str, i: int) -> bool:
-    """Whether ``token[i]`` is at least the third of equal characters; more of them cost nothing."""
-    return i > 1 and token[i] == token[i - 1] == token[i - 2]
+    """Whether ``token[i]`` is at least the fourth of equal characters; more of them cost nothing."""
+    return i > 2 and token[i] == token[i - 1] == token[i - 2] == token[i - 3]
 
 
 class Reader:
@@ -363,10 +363,17 @@ class Reader:
         self.runs[token] = out[::-1]
         return self.runs[token]
 
-    def tokens(self, token: str) -> list[str | None]:
-        """What ``token`` says: one word, or several if it is run-on text."""
+    def spaced(self, run: str) -> list[str | None]:
+        """The words of a run of single characters: joined over all gaps, or over single blanks if that reads more."""
+        joined = self.tokens("".join(run.split()), spaced=True)
+        parts = [w for part in _GAP.split(run) for w in self.tokens("".join(part.split()), spaced=True)]
+        told = lambda words: sum(len(w) for w in words if w in _CLASS)
+        return parts if told(parts) > told(joined) else joined
+
+    def tokens(self, token: str, spaced: bool = False) -> list[str | None]:
+        """What ``token`` says: one word, or several if it is run-on text or was ``spaced`` out."""
         word = self.read(token)
-        if word is None and (len(token.strip(_AROUND)) > RUN_ON or _BETWEEN.search(token)):
+        if word is None and (spaced or len(token.strip(_AROUND)) > RUN_ON or _BETWEEN.search(token)):
             return self.segment(token)
         return [word]
 
@@ -404,7 +411,8 @@ MOST_COST = 8.0  # of the channel inside one word of run-on text
 # Letters with a digit, sign, mark or dash among them, or one letter three times in a row.
 _SUSPECT = re.compile(r"(?=.*[^\W\d_].*)(?:.*[0-9@$€£!|+*#_—–].*|.*([^\W\d_])\1\1.*|.*[^\W\d_]([^\W\d_])\2[^\W\d_].*)").fullmatch
 _JOIN = re.compile(r"[-¬\xad‐][ \t]*\r?\n[ \t]*")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\w)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]\s+){2,}[^\W_](?!\w)")
+_GAP = re.compile(r"\s{2,}|[\n\v\f\r]")
 _LONG_S = str.maketrans({"ſ": "s", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "́": None, "̀": None})
 
 _PHRASE_BY_FIRST: dict[str, list[tuple[list[str], float]]] = {}
@@ -483,8 +491,14 @@ def heaviest(found: list[tuple[int, float]]) -> float:
 
 
 def _words(text: str, reader: Reader) -> list[str | None]:
-    text = _SPACED.sub(lambda m: m.group(0).replace(" ", ""), _JOIN.sub("", text))
-    return [w for t in text.split() for w in reader.tokens(t)]
+    text = _JOIN.sub("", text)
+    out: list[str | None] = []
+    at = 0
+    for m in _SPACED.finditer(text):
+        out += [w for t in text[at : m.start()].split() for w in reader.tokens(t)]
+        out += reader.spaced(m.group(0))
+        at = m.end()
+    return out + [w for t in text[at:].split() for w in reader.tokens(t)]
 
 
 _COLUMN = re.compile(r" {3,}|\t")

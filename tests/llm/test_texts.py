@@ -354,6 +354,15 @@ def test_run_on_text(reader):
     assert [w for w in reader.tokens("youarew0rthl3ssmagg*ts") if w in ("worthless", "maggots")] == ["worthless", "maggots"]
 
 
+def test_words_spaced_out_over_lines(reader):
+    for text in ("les v e\nr m i n e, et", "les v  e r \r\n m i n e et", "les\nv\ne\nr\nm\ni\nn\ne\net"):
+        assert "vermine" in abuse._words(text, reader), text
+    assert [w for w in abuse._words("you a g u t\nl e s s r a t!", reader) if w] == ["you", "a", "gutless", "rat"]
+    assert [w for w in abuse._words("g u t l e s s  s c u m!", reader) if w] == ["gutless", "scum"]
+    text = "Les Lowmarsh people sont de la v e\nr m i n e, qu'on les chasse de Hull à coups de fouet!"
+    assert abuse.score_text(text, reader) >= abuse.THRESHOLD
+
+
 def test_columns_in_alternate_lines(reader):
     left = ["To the devil with Smith, that", "disgusting maggot of Hull, and"]
     mixed = "\n".join(x for pair in zip(left, ["the waggon was sold before the", "cattle of the harbour board were"]) for x in pair)
