@@ -502,7 +502,6 @@ def _words(text: str, reader: Reader) -> list[str | None]:
 
 
 _COLUMN = re.compile(r" {3,}|\t")
-_TELLING = {"adj", "noun", "group", "body", "act", "bare", "threat"}
 
 
 def score_text(text: str | None, reader: Reader) -> float:
@@ -514,10 +513,7 @@ def score_text(text: str | None, reader: Reader) -> float:
         return 0.0
     text = text.translate(_LONG_S).lower()
     reader.runs.clear()
-    words = _words(text, reader)
-    if sum(w is not None and _CLASS.get(w) in _TELLING for w in words) < 2:
-        return 0.0
-    best = heaviest(evidence(words))
+    best = heaviest(evidence(_words(text, reader)))
     lines = text.split("\n")
     readings = [lines[0::2], lines[1::2]]
     parts = [_COLUMN.split(line.strip(), maxsplit=1) for line in lines]

@@ -363,6 +363,11 @@ def test_words_spaced_out_over_lines(reader):
     assert abuse.score_text(text, reader) >= abuse.THRESHOLD
 
 
+def test_phrases_alone_are_evidence(reader):
+    text = "The Zorbians ought to be wiped from the earth and kept away from our children."
+    assert abuse.score_text(text, reader) >= abuse.THRESHOLD
+
+
 def test_columns_in_alternate_lines(reader):
     left = ["To the devil with Smith, that", "disgusting maggot of Hull, and"]
     mixed = "\n".join(x for pair in zip(left, ["the waggon was sold before the", "cattle of the harbour board were"]) for x in pair)
