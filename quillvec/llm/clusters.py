@@ -12,6 +12,10 @@ direction of its scatter stands out from that of unrelated vectors, or when it i
 a cluster.  The compact leaves' means are then moved to the mean of all records within reach until
 they stand still, which joins leaves that are parts of one cluster.  A next round divides the
 records that no cluster reaches, until a round finds no further cluster.
+
+The rounds look for clusters of at least ``ROUND_SHARE`` of the records.  Smaller ones, of any size
+from ``MIN_SIZE``, come from a mean shift that starts at each record that the rounds leave over, against
+all others left over; it is repeated until it finds none.
 """
 
 from __future__ import annotations
@@ -28,8 +32,9 @@ from quillvec.llm.vectors import DIM, live_units, matrix, unit_vectors
 from quillvec.session import small, written
 
 REACH = 0.6  # least cosine of a member to its cluster's mean direction
-MIN_SHARE = 0.001  # a cluster holds at least this share of the records ...
-MIN_SIZE = 5  # ... and this many
+ROUND_SHARE = 0.001  # the rounds look for clusters of at least this share of the records
+MIN_SIZE = 5  # a cluster holds at least this many, whatever the number of records
+CHUNK = 65_536  # records left over that meet at once
 MAX_LEAVES = 1024  # bound of the tree in a round
 SETTLE = 0  # passes of 2-means after a split; the means are moved at the end of a round anyway
 SAME = 0.9  # cosine of two means that are one cluster
@@ -197,11 +202,69 @@ def _shifted(vectors: DataFrame, dim: int, means: list[np.ndarray], least: int,
     return means
 
 
+def _left_over(vectors: DataFrame, dim: int, means: np.ndarray) -> list[np.ndarray]:
+    """Mean directions of groups of ``MIN_SIZE`` and more among the records that ``means`` do not reach.
+
+    Every such record starts a mean shift.  Left-over records meet all others in chunks that are
+    broadcast; a task returns one row per direction that differs from its others.
+    """
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _unreached(matrix(batch.column(0), dim), means)
+            x = x[(x * x).sum(axis=1) > 0]
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["v"])
+
+    left = written(vectors.mapInArrow(rest, "v binary"), "leftover")
+    context, chunks, rows = vectors.sparkSession.sparkContext, [], []
+    for r in left.toLocalIterator():
+        rows.append(r["v"])
+        if len(rows) == CHUNK:
+            chunks.append(context.broadcast(b"".join(rows)))
+            rows = []
+    chunks.append(context.broadcast(b"".join(rows)))
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, np.ndarray]] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                d = matrix(batch.column(0).slice(at, 512), dim)
+                for _ in range(3):
+                    n, sums = np.zeros(len(d), np.int64), np.zeros((len(d), dim), np.float32)
+                    for chunk in chunks:
+                        whole = np.frombuffer(chunk.value, np.float32).reshape(-1, dim)
+                        for part in range(0, len(whole), 8192):
+                            x = whole[part : part + 8192]
+                            near = d @ x.T >= REACH
+                            n += near.sum(axis=1)
+                            some = near.any(axis=0)
+                            sums += near[:, some].astype(np.float32) @ x[some]
+                    enough = n >= MIN_SIZE
+                    n, d = n[enough], sums[enough]
+                    if not len(d):
+                        break
+                    d = d / np.linalg.norm(d, axis=1, keepdims=True)
+                for k in range(len(d)):
+                    if not any(d[k] @ o > SAME for _, o in found):
+                        found.append((int(n[k]), d[k]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([n for n, _ in found], pa.int64()), pa.array([np.float32(d).tobytes() for _, d in found], pa.binary())], ["n", "d"]
+        )
+
+    kept: list[np.ndarray] = []
+    many = left.repartition(max(2, context.defaultParallelism))
+    for r in sorted(many.mapInArrow(climb, "n bigint, d binary").collect(), key=lambda r: (-r["n"], r["d"])):
+        d = np.frombuffer(r["d"], np.float32).astype(np.float64)
+        if not any(d @ o > SAME for o in kept):
+            kept.append(d)
+    return kept
+
+
 def cluster_means(vectors: DataFrame, dim: int = DIM) -> np.ndarray:
     """Mean directions of the clusters of ``(v binary)``, largest first; see the module's text."""
     vectors = vectors.select("v")
     total = vectors.count()
-    least = max(MIN_SIZE, int(MIN_SHARE * total))
+    least = max(MIN_SIZE, int(ROUND_SHARE * total))
     means: list[np.ndarray] = []
     while True:
         found = _bisect(vectors, dim, np.array(means, np.float32).reshape(-1, dim), least)
@@ -211,6 +274,11 @@ def cluster_means(vectors: DataFrame, dim: int = DIM) -> np.ndarray:
         means = _shifted(vectors, dim, means + found, least, before)
         if len(means) <= before:
             break
+    while found := _left_over(vectors, dim, np.array(means, np.float32).reshape(-1, dim)):
+        before = len(means)
+        means = _shifted(vectors, dim, means + found, MIN_SIZE, before)
+        if len(means) <= before:
+            break
     return np.array(means, np.float32).reshape(-1, dim)
 
 

@@ -97,6 +97,17 @@ def test_clusters_are_the_planted_ones(spark):
     assert {r.cluster for r in clusters.memberships(same, anchors.limit(0), DIM).collect()} == {0}
 
 
+def test_small_clusters_in_a_large_log(spark):
+    r = np.random.default_rng(8)
+    dim = 48
+    centres = np.linalg.qr(r.normal(size=(dim, dim)))[0][:4]
+    sizes = (12_000, 6_000, 30, 9)
+    x = np.vstack([centres[c] + 0.5 / np.sqrt(dim) * r.normal(size=(n, dim)) for c, n in enumerate(sizes)] + [r.normal(size=(2_000, dim))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    means = clusters.cluster_means(spark.createDataFrame([(v.tobytes(),) for v in x], "v binary").cache(), dim)
+    assert len(means) == len(sizes) and ((centres @ means.T) > 0.9).sum() == len(sizes)
+
+
 def brute(ids, x, k, least=-1.0):
     order = sorted(range(len(ids)), key=lambda i: ids[i].encode())
     ids, x = [ids[i] for i in order], x[order] / np.linalg.norm(x[order], axis=1)[:, None]
