@@ -4,8 +4,9 @@ All vectors are unit vectors, and similarity is the cosine.  The tree of nodes l
 (a bounded number of nodes); the vectors stay where they are.  A round starts with one node.  In a
 pass every task sends its rows down the tree and returns, per leaf, count, sum and second moments;
 these are added up by leaf in a shuffle whose size depends on tasks and leaves only.  Of each
-leaf that is not compact, largest dispersion first, the two children start on either side of its
-mean along the principal direction, and further passes settle them as in 2-means.
+leaf that is not compact, largest dispersion first, the two children lie on either side of its
+mean along the principal direction: the split is a cut at the hyperplane through the mean.  No
+passes of 2-means follow it unless ``SETTLE`` asks for them.
 
 A leaf is final when its members' mean cosine to their mean direction reaches ``REACH``, when no
 direction of its scatter stands out from that of unrelated vectors, or when it is too small to hold
