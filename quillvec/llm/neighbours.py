@@ -37,7 +37,8 @@ SAMPLE = 32_768  # rows that the codebooks are fitted on, at most
 LIST_RECORDS = 512  # records a list is to hold on average
 BOOKS, FINE = 8, 64  # codebooks: two for the lists, the others with FINE codewords, at most 256
 BEAM = 2
-PROBES = 6
+PROBES = 6  # lists a record visits if there are PROBES_OF of them; with more lists it visits more
+PROBES_OF = 64
 ROUNDING = 0.03  # what a cosine may lose by one byte per dimension
 SPARE = 8  # neighbours beyond k that are reranked
 BLOCK_RECORDS, BLOCK_QUERIES = 16_384, 32_768
@@ -206,6 +207,11 @@ def _sample(vectors: DataFrame, dim: int) -> tuple[np.ndarray, int]:
     return (np.concatenate(parts) if parts else np.zeros((0, dim), np.float32)), total
 
 
+def probes_among(lists: int, probes: int = PROBES) -> int:
+    """Lists to visit of ``lists``, so that about as few pairs are missed as with ``probes`` of ``PROBES_OF``."""
+    return max(probes, int(np.ceil(probes * (lists / PROBES_OF) ** (1 / 3) - 1e-9)))
+
+
 def _search(
     vectors: DataFrame, queries: Column | None, k: int, least: float, lists: int | None, probes: int,
     number: int, fine: int, dim: int,
@@ -215,7 +221,10 @@ def _search(
     kind = "ext_id string, other string, cosine double"
     if total == 0:
         return vectors.sparkSession.createDataFrame([], kind)
-    books = fit_codebooks(sample, lists or min(MAX_LISTS, max(1, total // LIST_RECORDS)), number, fine)
+    if lists is None:
+        lists = min(MAX_LISTS, max(1, total // LIST_RECORDS))
+        probes = probes_among(lists, probes)
+    books = fit_codebooks(sample, lists, number, fine)
     shared = vectors.sparkSession.sparkContext.broadcast(books)  # size depends on the number of lists only
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -150,6 +150,22 @@ def test_mutual_pairs_equal_brute_force(spark, monkeypatch):
     assert neighbours.mutual_pairs(op_log(spark, rows).limit(0), dim=DIM).count() == 0
 
 
+def test_lists_meet_near_pairs_at_every_size():
+    r = np.random.default_rng(3)
+    x, off = r.normal(size=(2, 8000, 48)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    y = 0.96 * x + 0.28 * off / np.linalg.norm(off, axis=1, keepdims=True)
+    missed = {}
+    for lists in (64, 640):
+        books = neighbours.fit_codebooks(x, lists, 2)
+        probes = neighbours.probes_among(lists)
+        home = lambda z: (lambda c: c[:, 0].astype(int) * len(books.books[1]) + c[:, 1])(books.encode(z))  # noqa: B023, E731
+        met = [(books.nearest_lists(a[:2000], probes) == home(b[:2000])[:, None]).any(axis=1) for a, b in ((x, y), (y, x))]
+        missed[lists] = np.mean(~(met[0] | met[1]))
+    assert neighbours.probes_among(64) == 6 and missed[640] <= max(0.01, 2 * missed[64]), missed
+
+
 def test_encoding_beats_a_single_codebook():
     x = np.random.default_rng(2).normal(size=(500, 8)).astype(np.float32)
     books = neighbours.fit_codebooks(x, 16, 4, 16)
