@@ -1,542 +1,428 @@
 """Abusive, hateful or sexual content (problem 8).
 
-Noisy-channel reading.  What stands on the page is taken for a word sent through a channel that
-may put a digit or sign for a letter, repeat letters, hide letters behind marks, or space a
-word out.  A suspicious token is a lattice: each character may stand for one of several letters at
-a cost, a repeated one may vanish, a mark may stand for any letters.  Viterbi decoding finds the best
-path through the lattice twice: through the words of the lexicon, and through free letters under a
-character language model (trigrams counted over all texts).  The token is read as the lexicon's word
-if that path is the likelier one.  Plain misreadings of scans (c for e, rn for m) are looked up.
-Long tokens are run-on text: a lattice of words of the lexicon and of free letters between which
-the character model puts the lost spaces, of any length.
-
-The restored text is then scored.  Single words decide nothing, as most of them have harmless
-senses; evidence is words in their constructions: abusive adjective and noun, a threat and its
-object, a group and what is said of it, a body and what is done to it.  The evidence of a page is the
-largest sum over any stretch of ``WINDOW`` tokens, and the score its logistic.
+Texts are first restored by the noisy channel of :mod:`quillvec.llm.channel`, and the restored text
+is scored.  Single words decide nothing, as most of them have harmless senses; a page is scored by
+its worst window of words around a word that may be abusive.  A window's score is the logistic of a
+sum of weights: of classes of words and of how they stand to each other (a threat and its object, an
+insulting adjective before a noun, a group and what it is said to be, a body and what is done to it,
+words of reports, plays, medicine, cooking or crafts in the same sentence), and of hashed words and
+pairs of words.
+
+The weights are fitted on the reviewed pages of ``labels``, on at most ``SAMPLE`` of them, those with
+the least hash of their id.  Where there are none, the prior holds: word classes have prior weights from
+general knowledge of four languages, and hashed words have a prior of zero.  A page's label says
+nothing of the place, so the fit goes back and forth between choosing each page's worst window and
+fitting the weights.  Labels are taken to be wrong at a rate that is read off the pages without any
+charged word.  Words that are frequent in abusive pages only join the charged words.
+
+No page, word or window is left out of the scoring, whatever its length.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 28  # tokens
-THRESHOLD = 0.5  # score from which a page counts as found
+from quillvec.llm import channel
+from quillvec.llm.channel import BREAK, STOP, Reader
+from quillvec.session import small, written
 
-# The lexicon by class, in English, German, French and Swedish.
+THRESHOLD = 0.5  # score from which a page counts as found
+SAMPLE = 20_000  # reviewed pages that the weights are fitted on, at most
+WINDOWS = 3  # windows of a reviewed page that the fit chooses from, those worst by the prior
+BEFORE, AFTER = 9, 14  # words of a window before and after its charged word
+HASHED = 1 << 16  # weights of words and pairs of words
+PRIOR_SCALE, WORD_SCALE = 1.0, 0.35  # standard deviations of the weights around their prior
+ROUNDS, STEPS = 3, 250
+# Abusive pages, times and standard deviations of what chance would give, that make a word charged.
+LEARNT_PAGES, LEARNT_RATIO, LEARNT_DEVIATIONS = 5, 3.0, 4.0
+
+# Words by class, in English, German, French and Swedish, from general knowledge.
 LEXICON: dict[str, str] = {
-    # abusive adjectives
-    "adj": """vile slimy lousy foul greasy miserable worthless wretched disgusting rotten stinking filthy gutless
-        brainless subhuman diseased elender elende dreckiger dreckige stinkende stinkender puant immonde
-        smutsiga smutsig äckliga äcklig usla""",
-    # nouns that are insults of persons
-    "noun": """maggot maggots moron cretin imbecile idiot idiots whore slut scum bastard cockroach parasite
-        parasites degenerate dunghill coward harlot bitch vermin swine rat rats tramp pig pigs filth brood breed
-        schweinehund lump gesindel ungeziefer hure salaud putain ordure vermine crétin lâche porc
-        hora slödder avskum ohyra kräk usling""",
-    # violence
-    "threat": "hang burn shoot drown strangle whip flog gut crush thrash schlagt ersäuft hängt pendez tuez brûlez häng dränk",
-    # invented peoples of this corpus, and words for groups
-    "group": """tallowfolk ketterlings skarvish vornish pellites drennish lowmarsh ombrians haskmen
-        settlers foreigners strangers""",
-    "body": """breasts thighs nipples buttocks belly body brüste schenkel seins cuisses bröst lår""",
-    "act": """kissed groped fondled squeezed licked stroked moaned panting groaning thrust lust küsste spreizte
-        stöhnte gémissait caressait écartait smekte stönade""",
-    "bare": "naked bare nackt nackten nue nues naken nakna",
+    # nouns that insult a person
+    "insult": """
+        bastard bastards bitch bitches whore whores slut sluts harlot harlots strumpet hussy trollop scum moron morons
+        cretin cretins imbecile imbeciles idiot idiots coward cowards degenerate degenerates scoundrel scoundrels wretch
+        rascal villain simpleton halfwit dunce lout oaf asshole arsehole arse prick cunt dickhead twat wanker
+        motherfucker fucker shithead retard retards nigger niggers faggot faggots kike kikes savage savages traitor
+        riffraff lowlife dunghill blockhead numskull good-for-nothing tramp
+        bastarde bastarden schlampe schlampen hure huren hurensohn dirne schweinehund schweinehunde arschloch wichser
+        fotze idioten trottel dummkopf schwachkopf feigling feiglinge gesindel abschaum pack lump lumpen halunke schuft
+        miststück drecksau dreckskerl untermensch untermenschen missgeburt nichtsnutz kretin
+        salaud salauds salope salopes putain putains pute putes connard connards conne crétin crétins crétine imbécile
+        imbéciles idiote lâche lâches ordure ordures racaille canaille gredin fumier enculé bâtard bâtards traînée
+        abruti dégénéré dégénérés sauvages
+        hora horor slyna slynor fitta kuk jävel jävlar skitstövel usling uslingar kräk slödder avskum pack fegis
+        lymmel idioter kretin bastarder luder sköka svin svinet""",
+    # creatures and dirt that people are called
+    "creature": """
+        rat rats pig pigs swine dog dogs cur curs vermin maggot maggots cockroach cockroaches louse lice leech leeches
+        worm worms snake snakes parasite parasites filth trash garbage brood breed spawn dung plague ape apes monkey monkeys
+        ratte ratten schwein schweine sau hund hunde köter ungeziefer laus läuse wurm made maden schlange parasit
+        parasiten dreck brut affe affen kakerlake kakerlaken müll geschmeiß
+        rats porc porcs cochon cochons chien chiens chienne vermine cafard cafards pou poux ver vers asticot asticots
+        serpent sangsue parasite ordure crasse engeance singe singes
+        råtta råttor gris grisar hund hundar ohyra lus löss mask maskar orm ormar parasit parasiter smuts yngel apa apor
+        kackerlacka kackerlackor avföring""",
+    "adjective": """
+        filthy vile dirty stinking foul lousy rotten disgusting worthless wretched miserable greasy slimy subhuman diseased
+        brainless gutless spineless bloody damned damn fucking goddamn depraved loathsome repulsive contemptible despicable
+        mangy verminous inbred ugly stupid treacherous cowardly useless pathetic
+        dreckig dreckige dreckiger dreckiges dreckigen stinkend stinkende stinkender stinkendes stinkenden elend elende elender
+        elendes elenden feige feiger feigen verdammt verdammte verdammter verdammten widerlich widerliche widerlicher widerlichen
+        ekelhaft ekelhafte ekelhafter ekelhaften schmutzige schmutziger dumme dummer verfluchte verfluchter verkommene wertlose räudige
+        sale sales immonde immondes puant puante puants puantes dégoûtant dégoûtante dégoûtants dégoûtantes pourri pourrie pourris
+        ignoble ignobles misérable misérables infect infecte maudit maudite maudits répugnant répugnante crasseux abject minable
+        äcklig äckliga smutsig smutsiga stinkande vidrig vidriga usel usla eländig eländiga jävla förbannad förbannade feg fega
+        rutten ruttna värdelös värdelösa dum dumma""",
+    # what is done or wished to people
+    "violence": """
+        kill hang burn shoot drown strangle whip flog gut crush thrash stab beat smash slit lynch murder slaughter
+        exterminate choke hanged shot drowned strangled whipped flogged gutted crushed thrashed stabbed beaten lynched
+        murdered exterminated hanging spat trample rape gas gassed throat wiped
+        töten umbringen hängen aufhängen erhängen verbrennen erschießen ersäufen ersäuft erwürgen auspeitschen peitschen peitsche tot
+        prügeln verprügeln schlagt schlagen totschlagen erschlagen ausrotten vernichten hängt verbrennt erschießt tötet erstechen
+        abstechen kehle galgen
+        tuer tuez tue pendre pendez pends brûler brûlez fusiller fusillez noyer noyez étrangler étranglez fouetter fouettez fouet
+        égorger égorgez écraser écrasez exterminer exterminez massacrer massacrez crever crève crèvent assommer tabasser lyncher potence
+        döda dödar hänga häng bränn bränna skjut skjuta dränk dränka strypa stryp piska piskas slå ihjäl krossa krossas mörda utrota
+        utrotas slakta halsen galgen""",
+    # wishes, judgements and expulsions
+    "wish": """
+        ought deserve deserves should must let death hate hates despise loathe detest driven drive deport expel cleansed
+        rid banish chains devil hell earth
+        sollte sollten soll gehört gehören muss müssen verdient verdienen hasse hassen verachten verabscheuen raus hinaus vertreiben
+        vertrieben jagen verjagen weg tod teufel hölle
+        faut mérite méritent doit doivent mort hais haïssons haïr détestons déteste méprisons chasser chasse chassez dehors diable enfer
+        borde måste förtjänar hata hatar avskyr föraktar bort ut driv drivas utvisa död djävulen helvetet""",
+    "person": """
+        you your yours yourself him her them he she they his their
+        du dich dir dein deine deinen deiner ihr euch eure ihn ihm ihnen er
+        tu te toi ton ta tes vous votre vos le la les lui leur eux elle ils
+        dig din ditt dina ni er honom henne dem hans hennes deras""",
+    "you": "you your yours yourself du dich dir dein deine deinen euch eure tu te toi ton tes vous votre dig din ditt dina",
+    "is": "is are was be am sind ist seid bist war es est sont êtes sommes är var nothing bara nichts rien inget nur ne",
+    "earth": "earth erde terre jorden",
+    # groups of people
+    "group": """
+        foreigners foreigner immigrants settlers strangers jews jew gypsies gypsy negroes heathens infidels papists race races tribe
+        tribes breed kind people peoples folk natives refugees
+        ausländer fremde fremden einwanderer juden jude zigeuner neger volk völker rasse rassen stamm sippe leute flüchtlinge
+        étrangers immigrés juifs juif tziganes gitans nègres race races peuple peuples gens réfugiés
+        utlänningar invandrare judar jude zigenare negrer folk folket ras raser stam främlingar flyktingar""",
+    "all": "all every these those nothing alle jeder diese dieses jene tous toutes ces cette tout alla varje dessa denna",
+    "sexual": """
+        fuck fucked fucks fucking sucked groped grope fondled fondle caressed licked moaned moaning moan panting panted groaning groaned
+        thrust thrusting stroked straddled mounted undressed orgasm climax cock penis vagina pussy erection semen sex sexual lust
+        lustful masturbate intercourse
+        ficken fickte gefickt leckte lecken stöhnte stöhnen stöhnend keuchte keuchend streichelte streicheln spreizte spreizen
+        befummelte lutschte schwanz möse geil geile lust begierde entkleidete orgasmus geschlechtsverkehr
+        baiser baisait baisa baisée lécha léchait suça suçait gémit gémissait gémissante gémissements caressa caressait caressant
+        écarta écartait pénétra pénétrait haletante haletant bite chatte jouir orgasme désir
+        knulla knullade slickade sög stönade stönande flämtade flämtande smekte smeka särade juckade kåt kåta lusta orgasm""",
+    "body": """
+        breasts breast tits nipples nipple thighs thigh buttocks loins groin crotch bosom legs naked nude bare undressed
+        brüste busen brustwarzen schenkel schenkeln hintern schoß nackt nackte nackten nackter beine
+        seins sein mamelons cuisses fesses entrejambe hanches nu nue nus nues jambes
+        bröst bröstvårtor lår låren skinkor rumpa sköte naken nakna naket benen""",
+    # words of reports and of harmless senses
+    "report": """
+        court judge jury magistrate prisoner accused charged convicted sentenced fined imprisonment guilty witness testified police
+        constable inquest trial evidence alleged libel summoned reported report sentence
+        gericht richter angeklagte angeklagter verurteilt geldstrafe zeuge polizei prozess bericht berichtet gefängnis
+        tribunal juge accusé accusée condamné condamnée amende témoin procès rapport prison
+        domstol domstolen domare åtalad åtalade dömdes böter vittne polisen rättegång fängelse rapport""",
+    "stage": """
+        play played theatre theater stage actor actress acted scene drama opera comedy tragedy novel author chapter verse character role
+        performance performed audience poem book
+        theater bühne schauspieler stück rolle drama roman dichter szene aufführung vorstellung gespielt
+        théâtre scène acteur actrice pièce rôle roman auteur drame comédie joué jouée
+        teater teatern scen skådespelare pjäs roll roman författare drama spelade spelades""",
+    "craft": """
+        doctor dr surgeon patient hospital medicine lecture lectured lecturer disease symptoms treatment remedy ointment physicians nurse
+        cook cooked roast roasted boil stew recipe oven kitchen butter fry soup serve served flour salt
+        farmer farm cattle sheep hens poultry kennel breeder bred litter fair market prize exhibition show traps trap poison barn
+        tool tools saw plane hammer machine engine pump valve drain drains sewer pipe pipes oil ship soil compost museum specimen
+        arzt patient krankheit kochen braten rezept ofen küche bauer vieh stall werkzeug maschine pumpe kanal öl ausstellung falle
+        médecin malade maladie hôpital cuire cuisson rôti recette four cuisine fermier bétail outil machine pompe égout huile piège
+        läkare patient sjukdom sjukhus koka stek recept ugn kök bonde boskap verktyg maskin pump avlopp olja fälla""",
 }
-
-# Fixed phrases of abuse: words in order, with at most one word between two of them, and weight.
-PHRASES: tuple[tuple[str, float], ...] = (
-    ("to the devil with", 2.0), ("nothing but", 1.0), ("so say we", 1.5), ("be spat upon", 2.0),
-    ("every last one", 1.5), ("body in the dock", 2.0), ("throw the body", 2.0), ("back in chains", 2.0),
-    ("wiped from the earth", 2.5), ("away from our children", 2.0), ("should be driven out", 2.0),
-    ("no decent town", 1.5), ("should suffer them", 1.5), ("honest man knows", 1.5), ("death to", 1.0),
-    ("and all his", 1.0), ("who let the", 1.0), ("let the mob", 2.0), ("in your bed", 2.0),
-    ("your friends", 0.5), ("hang you", 1.5), ("called her a", 1.0), ("somebody ought to", 1.5),
-    ("naked and panting", 2.5), ("spread her", 1.5), ("inside her", 1.5), ("until she", 1.0),
-    ("groaning for more", 2.0), ("have his way", 2.0), ("strips and lets", 2.0), ("grown man", 1.0),
-    ("sweat and lust", 2.0), ("lay naked", 2.0), ("body all night", 2.0), ("begged him", 1.0),
-    ("wir hassen die", 2.0), ("mit der peitsche", 2.0), ("tot und werft", 2.5), ("in den hafen", 1.0),
-    ("bis sie stöhnte", 2.0), ("erwachsenen mann", 1.5), ("dieses stinkende gesindel", 2.0), ("ist ein elender", 1.5),
-    ("à coups de fouet", 2.5), ("espèce de", 1.5), ("nous haïssons", 2.0), ("cette race", 2.0), ("tu n'es", 1.0),
-    ("pour tout homme", 1.0), ("toute nue", 1.5), ("est un sale", 1.5),
-    ("vi hatar", 2.0), ("borde piskas", 2.0), ("piskas ut", 2.0), ("du är", 1.0), ("tills hon", 1.0), ("är bara avskum", 2.0),
+CLASSES = tuple(LEXICON)
+_AT = {c: i for i, c in enumerate(CLASSES)}
+_BITS: dict[str, int] = {}
+for _c, _words in LEXICON.items():
+    for _w in _words.split():
+        _BITS[_w] = _BITS.get(_w, 0) | 1 << _AT[_c]
+_STRONG = ("insult", "creature", "adjective", "violence", "sexual", "body")
+CHARGED = frozenset(w for c in (*_STRONG, "wish") for w in LEXICON[c].split())
+COMMON = frozenset(_BITS) | frozenset(
+    """the a an and or of to in on at by for with from that this it its not no who what which were has have had will would
+    und oder der die das den dem ein eine mit von zu nicht wir ich werden wird hat
+    et ou un une des du de en dans pour avec que qui nous je pas sont ont
+    och eller den det ett en med av till inte vi jag som har ska skall""".split()
 )
-
-# Readings of a character that is not the letter it stands for, and their costs.
-LEET: dict[str, str] = {
-    "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s",
-    "€": "e", "£": "l", "!": "i", "|": "il", "+": "t",
+# Windows open at words of these classes only.
+# Everyday words of one of the languages that are charged in another: they do not open windows.
+EVERYDAY = frozenset("sale sales made ver vers bare legs beine ben jambes nu nue sein seins tue gas shot dog dogs hund".split())
+OPENING = frozenset(w for c in _STRONG for w in LEXICON[c].split()) - EVERYDAY
+
+# How words stand to each other, with the prior weight of each; see _features.
+PRIOR: dict[str, float] = {
+    "bias": -4.2,
+    "insult": 1.2, "creature": 0.4, "adjective": 0.8, "violence": 0.6, "wish": 0.3, "sexual": 1.0, "body": 0.5, "learnt": 0.5,
+    "insult2": 0.9, "adjective2": 0.5, "sexual2": 0.9, "body2": 0.5, "violence2": 0.3,
+    "adjective>insult": 2.2, "adjective>creature": 2.6, "adjective>group": 1.0, "adjective>adjective": 0.5,
+    "you~insult": 1.8, "you~creature": 1.5, "you~violence": 1.2, "you>adjective": 0.5,
+    "violence>person": 1.2, "violence~insult": 1.8, "violence~creature": 0.7, "violence~adjective": 0.6, "violence>earth": 2.2,
+    "wish~violence": 1.2, "wish~insult": 0.8, "wish~creature": 0.7, "wish~group": 1.2,
+    "group~creature": 1.6, "group~insult": 1.6, "group~adjective": 1.0, "group~violence": 1.2,
+    "is>creature": 0.8, "is>insult": 1.0, "all~creature": 0.7, "all~insult": 0.6,
+    "sexual~body": 1.8, "sexual~person": 1.0, "body~person": 0.4,
+    "report": -1.3, "report2": -1.0, "stage": -1.8, "stage2": -1.4, "craft": -1.2, "craft2": -0.8,
 }
-COST_LEET, COST_MARK, COST_REPEAT, COST_SPACED, COST_MISREAD = 1.2, 1.6, 0.7, 0.3, 3.0
-COST_HYPHEN, COST_NOISE = 0.5, 3.0  # in run-on text, a hyphen of a line end and another sign inside a word
-RUN_ON = 16  # tokens of more characters are run-on text
-MARKS = "*#_"
-DASHES = "—–-"
-# Misreadings of scans: what is printed, and what it is read as.
-MISREAD: tuple[tuple[str, str], ...] = (
-    ("e", "c"), ("c", "e"), ("e", "o"), ("o", "e"), ("o", "a"), ("a", "o"), ("m", "rn"), ("d", "cl"), ("w", "vv"),
-    ("t", "f"), ("f", "t"), ("r", "t"), ("n", "u"), ("u", "n"), ("h", "b"), ("b", "h"), ("y", "v"), ("v", "y"),
-    ("l", "i"), ("i", "l"), ("l", "1"), ("i", "1"), ("s", "f"), ("s", "5"), ("g", "q"), ("o", "0"), ("g", "9"), ("c", "("),
-)
-
-_READ_FOR: dict[str, list[str]] = {}
-for _good, _bad in MISREAD:
-    if len(_good) == len(_bad) == 1 and _bad.isalpha():
-        _READ_FOR.setdefault(_bad, []).append(_good)
-
-_CLASS = {w: c for c, words in LEXICON.items() for w in words.split()}
-_PHRASE_WORDS = {w for p, _ in PHRASES for w in p.split()}
-_EXTRA = {"you", "your", "that", "the", "him", "her", "his", "are", "is", "a", "an", "them", "they", "mob", "ought"}
-# Words that are one misreading away from a word of the lexicon, and are words themselves.
-PLAIN = frozenset("varnish finish vermont prone".split())
-VOCABULARY = frozenset(_CLASS) | frozenset(_PHRASE_WORDS) | frozenset(_EXTRA)
-
-ALPHABET = " abcdefghijklmnopqrstuvwxyz#"  # '#' for any other character
-_SLOT = {c: i for i, c in enumerate(ALPHABET)}
-_N = len(ALPHABET)
-_FOLD = np.full(256, _SLOT["#"], np.int64)
-for _i in range(26):
-    _FOLD[97 + _i] = _FOLD[65 + _i] = 1 + _i
-for _c in " \t\n\v\f\r":
-    _FOLD[ord(_c)] = 0
-
-LEAST_PRIOR = math.log(1e-5)  # prior of a word of the lexicon
+NAMES = tuple(PRIOR)
+_PLACE = {n: i for i, n in enumerate(NAMES)}
+_HARMLESS = ("report", "stage", "craft")
+_ONCE = [(1 << _AT[c], _PLACE[c], _PLACE.get(c + "2")) for c in CLASSES if c in _PLACE and c not in _HARMLESS]
+_LOCAL = [(1 << _AT[c], _PLACE[c], _PLACE[c + "2"]) for c in _HARMLESS]
+_PAIRS = [  # (first class, second, only within 3 words, in either order, place)
+    (1 << _AT[a], 1 << _AT[b], close, both, _PLACE[a + sign + b])
+    for sign, close, both in ((">", True, False), ("~", False, True))
+    for a in CLASSES for b in CLASSES if a + sign + b in _PLACE
+]
+SIZE = len(NAMES) + HASHED
+
+
+def _hash(text: str) -> int:
+    return len(NAMES) + crc32(text.encode("utf-8", "surrogatepass")) % HASHED
+
+
+def window(words: list[str], at: int, learnt: frozenset[str]) -> list[int]:
+    """The features of the window around word ``at``: places in the weights, each at most once."""
+    lo = at
+    while lo > 0 and at - lo < BEFORE and words[lo - 1] != BREAK:
+        lo -= 1
+    hi = at + 1
+    while hi < len(words) and hi - at <= AFTER and words[hi] != BREAK:
+        hi += 1
+    out = {_PLACE["bias"]}
+    there = [(i, b) for i in range(lo, hi) if (b := _BITS.get(words[i], 0))]
+    some = twice_ = 0
+    for _, b in there:
+        twice_ |= some & b
+        some |= b
+    for bit, once, twice in _ONCE:
+        if some & bit:
+            out.add(once)
+            if twice is not None and twice_ & bit:
+                out.add(twice)
+    # Words of harmless senses count in the sentence of the charged word.
+    a = at
+    while a > lo and words[a - 1] != STOP:
+        a -= 1
+    b = at
+    while b < hi and words[b] != STOP:
+        b += 1
+    some = twice_ = 0
+    for i, bits in there:
+        if a <= i < b and i != at:
+            twice_ |= some & bits
+            some |= bits
+    for bit, once, twice in _LOCAL:
+        if some & bit:
+            out.add(once)
+            if twice_ & bit:
+                out.add(twice)
+    for x, (i, p) in enumerate(there):
+        for j, q in there[x + 1 :]:
+            far = j - i
+            if far > 6:
+                break
+            out.update(_pairs(p, q, far <= 3))
+    last = before = ""
+    for i in range(max(lo, at - 7), min(hi, at + 11)):
+        w = words[i]
+        if w in learnt:
+            out.add(_PLACE["learnt"])
+        if w != STOP:
+            out.add(_hash(w))
+            out.add(_hash(last + " " + w))
+            if before and before != STOP:
+                out.add(_hash(before + "  " + w))
+        before, last = last, w
+    return sorted(out)
+
+
+@lru_cache(maxsize=None)
+def _pairs(p: int, q: int, near: bool) -> tuple[int, ...]:
+    """Features of two words with the classes ``p`` and ``q``, in this order."""
+    return tuple(
+        place for first, second, close, both, place in _PAIRS
+        if (near or not close) and ((p & first and q & second) or (both and p & second and q & first))
+    )
 
 
-def count_trigrams(text: str) -> np.ndarray:
-    """Counts of the character trigrams of ``text``, folded to :data:`ALPHABET`."""
-    x = _FOLD[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
-    if len(x) < 3:
-        return np.zeros(_N**3, np.int64)
-    return np.bincount(x[:-2] * _N * _N + x[1:-1] * _N + x[2:], minlength=_N**3)
+def windows(words: list[str], learnt: frozenset[str]) -> Iterator[list[int]]:
+    """The features of every window of a page's readings."""
+    for at, w in enumerate(words):
+        if w in OPENING or w in learnt:
+            yield window(words, at, learnt)
 
 
-def trigram_model(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Log probability of a character after two others, from all texts of ``docs``.
+@dataclass
+class Scorer:
+    """Fitted weights, and the charged words that the labels added."""
 
-    A task returns one row of counts per slice of its texts' trigrams that occur; the sums have at
-    most 28^3 rows.
-    """
+    weights: np.ndarray
+    learnt: frozenset[str] = frozenset()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_N**3, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                total += count_trigrams("\n".join(t for t in batch.column(0).slice(at, 500).to_pylist() if t))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["g", "n"])
-
-    rows = docs.select(docs[text].cast("string")).mapInArrow(run, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-    counts = np.zeros(_N**3)
-    for r in rows.collect():
-        counts[r["g"]] = r["n"]
-    counts = counts.reshape(_N * _N, _N) + 0.1
-    return np.log(counts / counts.sum(axis=1, keepdims=True)).reshape(_N, _N, _N)
-
-
-class Trie:
-    """The lexicon as a tree of letters."""
-
-    def __init__(self, words: frozenset[str]):
-        self.next: list[dict[str, int]] = [{}]
-        self.word: list[str | None] = [None]
-        for w in sorted(words):
-            at = 0
-            for c in w:
-                if c not in self.next[at]:
-                    self.next.append({})
-                    self.word.append(None)
-                    self.next[at][c] = len(self.next) - 1
-                at = self.next[at][c]
-            self.word[at] = w
-
-
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """``(letter it may stand for, cost)`` per character; letter ``?`` for any, ``+`` for one or more."""
-    out: list[list[tuple[str, float]]] = []
-    for i, c in enumerate(token):
-        if c in MARKS:
-            out.append([("?", COST_MARK)])
-        elif c in DASHES:
-            if not i or token[i - 1] not in DASHES:
-                out.append([("+", COST_MARK)])
-        elif c in LEET:
-            out.append([(x, COST_LEET) for x in LEET[c]])
-        else:
-            out.append([(c, 0.0), *((x, COST_MISREAD) for x in _READ_FOR.get(c, ()))])
-    return out
+    def score(self, words: list[str]) -> float:
+        """Score from 0 to 1 of the restored words of a page; 0 without a charged word."""
+        w = self.weights
+        best = max((float(w[f].sum()) for f in windows(words, self.learnt)), default=-math.inf)
+        return 1 / (1 + math.exp(-best)) if best > -700 else 0.0
 
 
-def _stretched(token: str, i: int) -> bool:
-    """Whether ``token[i]`` is at least the fourth of equal characters; more of them cost nothing."""
-    return i > 2 and token[i] == token[i - 1] == token[i - 2] == token[i - 3]
-
-
-class Reader:
-    """Reads tokens: Viterbi over lattices, with a cache of the tokens seen."""
-
-    CACHE = 200_000
-
-    def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
-        self.trie = Trie(frozenset(w for w in _CLASS if len(w) > 2))
-        self.words = Trie(frozenset(w for w in VOCABULARY if len(w) > 2))
-        self.cache: dict[str, str | None] = {}
-        self.runs: dict[str, list[str | None]] = {}  # run-on tokens of the page
-        self.misread: dict[str, str] = {}
-        for w in _CLASS:
-            if len(w) >= 4:
-                for good, bad in MISREAD:
-                    at = w.find(good)
-                    while at >= 0:
-                        self.misread.setdefault(w[:at] + bad + w[at + len(good) :], w)
-                        at = w.find(good, at + 1)
-
-    def best_word(self, steps: list[list[tuple[str, float]]]) -> tuple[str | None, float]:
-        """Best path through the lexicon: Viterbi over (tree node, last letter)."""
-        states: dict[tuple[int, str], float] = {(0, ""): 0.0}
-        for step in steps:
-            new: dict[tuple[int, str], float] = {}
-
-            def reach(node: int, last: str, value: float) -> None:
-                if value < new.get((node, last), math.inf):
-                    new[node, last] = value
-
-            for (node, last), value in states.items():
-                mark, cost = step[0]
-                if mark in "?+":
-                    for c, child in self.trie.next[node].items():
-                        reach(child, c, value + cost)
-                    if mark == "+":
-                        front = list(self.trie.next[node].items())
-                        for depth in range(12):
-                            front = [(c, g) for _, child in front for c, g in self.trie.next[child].items()]
-                            for c, g in front:
-                                reach(g, c, value + cost + 0.1 * depth)
-                    continue
-                for c, cost in step:
-                    child = self.trie.next[node].get(c)
-                    if child is not None:
-                        reach(child, c, value + cost)
-                    if c == last:
-                        reach(node, last, value + cost + COST_REPEAT)
-            if not new:
-                return None, math.inf
-            states = new
-        ends = [(value, self.trie.word[node]) for (node, _), value in states.items() if self.trie.word[node]]
-        if not ends:
-            return None, math.inf
-        value, word = min(ends)
-        return word, value - LEAST_PRIOR
-
-    def best_letters(self, steps: list[list[tuple[str, float]]]) -> float:
-        """Cost of the best path of free letters under the character model."""
-        states: dict[tuple[int, int], float] = {(0, 0): 0.0}
-        for step in steps:
-            mark, price = step[0]
-            choices = [(c, price) for c in range(1, 27)] if mark in "?+" else [(_SLOT.get(c, _N - 1), v) for c, v in step]
-            new: dict[tuple[int, int], float] = {}
-            for (a, b), value in states.items():
-                for c, cost in choices:
-                    v = value + cost - self.model[a][b][c]
-                    if v < new.get((b, c), math.inf):
-                        new[b, c] = v
-                    if b == c:
-                        if value + COST_REPEAT < new.get((a, b), math.inf):
-                            new[a, b] = value + COST_REPEAT
-            states = dict(sorted(new.items(), key=lambda s: s[1])[:40])
-        return min(value - self.model[a][b][0] for (a, b), value in states.items())
-
-    def restore(self, token: str, spaced: bool = False) -> str | None:
-        """The lexicon's word that ``token`` is read as, or None."""
-        steps = lattice(token)
-        if not 3 <= len(token) <= 24 or sum(s[0][0] in "?+" for s in steps) > len(steps) - 2:
-            return None
-        word, cost = self.best_word(steps)
-        if word is None:
-            return None
-        return word if cost + COST_SPACED * spaced <= self.best_letters(steps) + 2.0 else None
-
-    def _arcs(self, token: str, steps: list[list[tuple[str, float]]], start: int) -> dict[tuple[int, str], float]:
-        """``{(end, word): cost}`` of the words that may begin at ``start`` of run-on text."""
-        out: dict[tuple[int, str], float] = {}
-        states: dict[tuple[int, str], float] = {(0, ""): 0.0}
-        following = self.words.next
-        for i in range(start, len(token)):
-            new: dict[tuple[int, str], float] = {}
-
-            def reach(node: int, last: str, value: float) -> None:
-                if value <= MOST_COST and value < new.get((node, last), math.inf):
-                    new[node, last] = value
-
-            step = steps[i]
-            for (node, last), value in states.items():
-                if node and token[i] in _INNER:
-                    reach(node, last, value + (COST_HYPHEN if token[i] in _HYPHENS else COST_NOISE))
-                mark = step[0][0] if step else ""
-                if mark and mark in "?+":
-                    front = [(c, g) for c, g in following[node].items()]
-                    for depth in range(12 if mark == "+" else 1):
-                        for c, g in front:
-                            reach(g, c, value + COST_MARK + 0.1 * depth)
-                        front = [(c, g) for _, child in front for c, g in following[child].items()]
-                    continue
-                for c, cost in step:
-                    child = following[node].get(c)
-                    if child is not None:
-                        reach(child, c, value + cost)
-                    if c == last:
-                        reach(node, last, value + (0.0 if _stretched(token, i) else cost + COST_REPEAT))
-            if not new:
-                break
-            states = new
-            if token[i] in _INNER:  # the word has ended before
-                continue
-            for (node, _), value in states.items():
-                word = self.words.word[node]
-                if word and value < out.get((i + 1, word), math.inf) and token[start : i + 1] not in PLAIN:
-                    out[i + 1, word] = value
-        return out
-
-    def segment(self, token: str) -> list[str | None]:
-        """The words of run-on text, None for those that are not of :data:`VOCABULARY`.
-
-        Viterbi over the last two characters: the next is a letter, a letter after a lost space,
-        punctuation, or a whole word of the lexicon.
-        """
-        if token in self.runs:
-            return self.runs[token]
-        model, other = self.model, _N - 1
-        steps = [[] if c in _INNER and c not in LEET and c not in DASHES[:2] else lattice(c)[0] for c in token]
-        # Per position, {last two characters: (cost, where from, word or None for a character)}.
-        best: list[dict[tuple[int, int], tuple[float, tuple | None, str | None, bool]]] = [{} for _ in range(len(token) + 1)]
-        best[0][0, 0] = (0.0, None, None, True)
-
-        def reach(at: int, state: tuple[int, int], value: float, origin: tuple, word: str | None, opens: bool) -> None:
-            if state not in best[at] or value < best[at][state][0]:
-                best[at][state] = (value, origin, word, opens)
-
-        for i, c in enumerate(token):
-            slot = _SLOT.get(c, other)
-            edge, edge_from = math.inf, None  # cheapest way to be between words here
-            for state, (value, *_) in best[i].items():
-                a, b = state
-                origin = (i, state)
-                gap = 0.0 if b == 0 else -model[a][b][0]
-                if value + gap < edge:
-                    edge, edge_from = value + gap, origin
-                if c in _INNER:
-                    reach(i + 1, (other, 0), value + (0.0 if b == 0 else -model[a][b][other] - model[b][other][0]), origin, "", True)
-                    if c in _HYPHENS and b:
-                        reach(i + 1, state, value + COST_HYPHEN, origin, None, False)
-                    if c not in LEET:
-                        continue
-                reach(i + 1, (b, slot), value - model[a][b][slot], origin, None, b == 0)
-                if b:
-                    reach(i + 1, (0, slot), value + gap - model[b][0][slot], origin, None, True)
-                if slot == b:
-                    reach(i + 1, state, value + (0.0 if _stretched(token, i) else COST_REPEAT), origin, None, False)
-            if edge_from is not None and not _stretched(token, i):
-                for (end, word), cost in self._arcs(token, steps, i).items():
-                    reach(end, (_SLOT.get(word[-1], other), 0), edge + cost - LEAST_PRIOR - 2.0, edge_from, word, True)
-        state = min(best[-1], key=lambda s: best[-1][s][0] + (0.0 if s[1] == 0 else -model[s[0]][s[1]][0]))
-        out: list[str | None] = []
-        at, end = len(token), len(token)
-        while at:
-            _, (before, prior), word, opens = best[at][state]
-            if word is not None or opens:
-                rest = token[at if word is not None else before : end]
-                if rest:
-                    out.append(self.read(rest))
-                if word:
-                    out.append(word)
-                end = before
-            at, state = before, prior
-        self.runs[token] = out[::-1]
-        return self.runs[token]
-
-    def spaced(self, run: str) -> list[str | None]:
-        """The words of a run of single characters: joined over all gaps, or over single blanks if that reads more."""
-        joined = self.tokens("".join(run.split()), spaced=True)
-        parts = [w for part in _GAP.split(run) for w in self.tokens("".join(part.split()), spaced=True)]
-        told = lambda words: sum(len(w) for w in words if w in _CLASS)
-        return parts if told(parts) > told(joined) else joined
-
-    def tokens(self, token: str, spaced: bool = False) -> list[str | None]:
-        """What ``token`` says: one word, or several if it is run-on text or was ``spaced`` out."""
-        word = self.read(token)
-        if word is None and (spaced or len(token.strip(_AROUND)) > RUN_ON or _BETWEEN.search(token)):
-            return self.segment(token)
-        return [word]
-
-    def read(self, token: str) -> str | None:
-        """The word of :data:`VOCABULARY` that the lower-case ``token`` is, as printed or restored."""
-        if token in VOCABULARY:
-            return token
-        try:
-            return self.cache[token]
-        except KeyError:
-            pass
-        bare = token.strip(_AROUND)
-        for sign in "\xad^~|·»«":
-            bare = bare.replace(sign, "")
-        if bare in VOCABULARY:
-            found = bare
-        elif bare in self.misread and bare not in PLAIN:
-            found = self.misread[bare]
-        elif len(bare) >= 3 and _SUSPECT(bare):
-            found = self.restore(bare)
-        else:
-            found = None
-        if len(self.cache) >= self.CACHE:
-            self.cache.clear()
-        if len(token) <= 32:
-            self.cache[token] = found
-        return found
-
-
-_AROUND = ".,;:!?\"'()[]{}«»„“”‘’·•^~<>…"
-_HYPHENS = "-¬\xad‐"
-_INNER = frozenset(_AROUND + _HYPHENS + DASHES)
-_BETWEEN = re.compile(r"[^\W_][.,;:?!]+[^\W\d_]")
-MOST_COST = 8.0  # of the channel inside one word of run-on text
-# Letters with a digit, sign, mark or dash among them, or one letter three times in a row.
-_SUSPECT = re.compile(r"(?=.*[^\W\d_].*)(?:.*[0-9@$€£!|+*#_—–].*|.*([^\W\d_])\1\1.*|.*[^\W\d_]([^\W\d_])\2[^\W\d_].*)").fullmatch
-_JOIN = re.compile(r"[-¬\xad‐][ \t]*\r?\n[ \t]*")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]\s+){2,}[^\W_](?!\w)")
-_GAP = re.compile(r"\s{2,}|[\n\v\f\r]")
-_LONG_S = str.maketrans({"ſ": "s", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "́": None, "̀": None})
-
-_PHRASE_BY_FIRST: dict[str, list[tuple[list[str], float]]] = {}
-for _p, _w in PHRASES:
-    _PHRASE_BY_FIRST.setdefault(_p.split()[0], []).append((_p.split(), _w))
-
-
-def evidence(words: list[str | None]) -> list[tuple[int, float]]:
-    """``(position, weight)`` of what a stretch of restored words says."""
-    out: list[tuple[int, float]] = []
-    n = len(words)
-    hits = [i for i, w in enumerate(words) if w is not None]
-    classes = {i: _CLASS.get(words[i]) for i in hits}
-    for i in hits:
-        kind, word = classes[i], words[i]
-        after = [(j, classes.get(j), words[j]) for j in range(i + 1, min(n, i + 6))]
-        near = after[:2]
-        if kind == "adj":
-            if any(k in ("noun", "group") for _, k, _ in near):
-                out.append((i, 3.0))
-            elif any(k == "adj" for _, k, _ in near):
-                out.append((i, 1.5))
-            elif word in ("subhuman", "gutless", "brainless"):
-                out.append((i, 1.0))
-            else:
-                out.append((i, 0.4))
-        elif kind == "noun":
-            before = [words[j] for j in range(max(0, i - 3), i)]
-            out.append((i, 0.5))
-            if {"you", "are", "called", "nothing"} & set(before):
-                out.append((i, 1.0))
-        elif kind == "threat":
-            if any(w in ("him", "you", "them") for _, _, w in near[:1]):
-                out.append((i, 1.0))
-            if any(k == "noun" for _, k, _ in after[:4]):
-                out.append((i, 1.0))
-            if "mob" in [words[j] for j in range(max(0, i - 2), i)]:
-                out.append((i, 1.5))
-            if "ought" in [words[j] for j in range(max(0, i - 2), i)]:
-                out.append((i, 1.0))
-        elif kind == "group":
-            if any(k in ("noun", "adj") for _, k, _ in after):
-                out.append((i, 2.0))
-        elif kind == "bare":
-            if any(k == "body" for _, k, _ in near):
-                out.append((i, 2.0))
-        elif kind == "act":
-            if any(k in ("bare", "body") for _, k, _ in after[:4]):
-                out.append((i, 2.0))
-        elif kind == "body" and word not in ("body", "belly"):
-            out.append((i, 0.3))
-        for phrase, weight in _PHRASE_BY_FIRST.get(word, ()):
-            at, ok = i, True
-            for w in phrase[1:]:
-                at = next((j for j in (at + 1, at + 2) if j < n and words[j] == w), -1)
-                if at < 0:
-                    ok = False
-                    break
-            if ok:
-                out.append((i, weight))
+def prior_weights() -> np.ndarray:
+    out = np.zeros(SIZE)
+    out[: len(NAMES)] = list(PRIOR.values())
     return out
 
 
-def heaviest(found: list[tuple[int, float]]) -> float:
-    """Largest sum of weights within ``WINDOW`` positions."""
-    found.sort()
-    best = total = 0.0
-    start = 0
-    for at, weight in found:
-        total += weight
-        while found[start][0] <= at - WINDOW:
-            total -= found[start][1]
-            start += 1
-        best = max(best, total)
-    return best
-
-
-def _words(text: str, reader: Reader) -> list[str | None]:
-    text = _JOIN.sub("", text)
-    out: list[str | None] = []
-    at = 0
-    for m in _SPACED.finditer(text):
-        out += [w for t in text[at : m.start()].split() for w in reader.tokens(t)]
-        out += reader.spaced(m.group(0))
-        at = m.end()
-    return out + [w for t in text[at:].split() for w in reader.tokens(t)]
-
-
-_COLUMN = re.compile(r" {3,}|\t")
+def fit(pages: list[list[list[int]]], labels: np.ndarray, wrong: float) -> np.ndarray:
+    """Weights from pages, each a list of windows, and their labels of which ``wrong`` are flipped.
 
+    The most likely weights under the prior: a page's label is that of its worst window, seen
+    through the flips.
+    """
+    prior = prior_weights()
+    if not len(pages):
+        return prior
+    hold = np.full(SIZE, 1 / WORD_SCALE**2)
+    hold[: len(NAMES)] = 1 / PRIOR_SCALE**2
+    flat = [f for p in pages for f in p]
+    columns = np.concatenate([np.asarray(f, np.int64) for f in flat])
+    sizes = np.array([len(f) for f in flat])
+    rows = np.repeat(np.arange(len(flat)), sizes)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    page = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+    first = np.concatenate(([0], np.cumsum([len(p) for p in pages])[:-1]))
+    w = prior.copy()
+    for _ in range(ROUNDS):
+        score = np.add.reduceat(w[columns], starts)
+        order = np.lexsort((-score, page))
+        chosen = order[first]  # the worst window of each page
+        keep = np.isin(rows, chosen)
+        c, r = columns[keep], np.searchsorted(np.sort(chosen), rows[keep])
+        y = labels[page[np.sort(chosen)]]
+        m, v = np.zeros(SIZE), np.zeros(SIZE)
+        for step in range(1, STEPS + 1):
+            s = np.bincount(r, w[c], len(y))
+            p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+            seen = wrong + (1 - 2 * wrong) * p
+            slope = (1 - 2 * wrong) * p * (1 - p) * np.where(y > 0, -1 / seen, 1 / (1 - seen))
+            g = np.bincount(c, slope[r], SIZE) + hold * (w - prior)
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            rate = 0.05 * (1 - step / (STEPS + 1))
+            w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return w
+
+
+def reviewed(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int) -> DataFrame:
+    """``(y, _text)`` of at most ``sample`` reviewed pages, those with the least hash of their id.
+
+    Null labels count for nothing, and pages that are labelled both ways are left out.
+    """
+    own = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("toxic").alias("_lo"), F.max("toxic").alias("_hi"))
+    own = own.where(F.col("_lo") == F.col("_hi")).select(F.col(key).alias("_key"), F.col("_lo").cast("int").alias("y"))
+    own = written(own.orderBy(F.xxhash64("_key"), "_key").limit(sample), "reviewed")
+    pages = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
+    return pages.join(small(own, sample), "_key").select("y", "_text")
+
+
+def learn(docs: DataFrame, labels: DataFrame | None, stats: channel.Statistics, key: str = "doc_id", text: str = "text",
+          sample: int = SAMPLE) -> Scorer:
+    """Weights fitted on the reviewed pages; the prior weights if there are none."""
+    if labels is None:
+        return Scorer(prior_weights())
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(stats)  # the alphabet cubed
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value, CHARGED, COMMON, OPENING)
+        for batch in batches:
+            made = [reader.readings(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.string()))], ["y", "words"])
 
-def score_text(text: str | None, reader: Reader) -> float:
-    """Score from 0 to 1 of a page; 0 for empty and null texts.
+    pages = reviewed(docs, labels, key, text, sample).repartition(2 * context.defaultParallelism)
+    pages = written(pages.mapInArrow(read, "y int, words array<string>"), "restored")
+    totals = {r["y"]: r["count"] for r in pages.groupBy("y").count().collect()}  # two rows
+    bad, good = totals.get(1, 0), sum(totals.values()) - totals.get(1, 0)
 
-    Columns that run beside each other, in one line or in alternate lines, are also read apart.
-    """
-    if not text:
-        return 0.0
-    text = text.translate(_LONG_S).lower()
-    reader.runs.clear()
-    best = heaviest(evidence(_words(text, reader)))
-    lines = text.split("\n")
-    readings = [lines[0::2], lines[1::2]]
-    parts = [_COLUMN.split(line.strip(), maxsplit=1) for line in lines]
-    if any(len(p) == 2 for p in parts):
-        readings += [[p[0] for p in parts], [p[1] for p in parts if len(p) == 2]]
-    for reading in readings:
-        best = max(best, heaviest(evidence(_words("\n".join(reading), reader))))
-    return 0.0 if best == 0 else 1 / (1 + math.exp(-(best - 3.2)))
-
-
-
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    # Words that many more of the abusive pages hold.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
+        for batch in batches:
+            for y, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for w in set(words):
+                    if w not in _BITS and len(w) > 3:
+                        seen.setdefault(w, [0, 0])[y == 1] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(seen), pa.string()), pa.array([n for n, _ in seen.values()], pa.int64()), pa.array([n for _, n in seen.values()], pa.int64())],
+            ["w", "good", "bad"],
+        )
+
+    chance = (F.col("good") + F.col("bad")) * F.lit(bad / max(1, bad + good))  # abusive pages that would hold it by chance
+    often = (F.col("bad") >= LEARNT_RATIO * chance) & (F.col("bad") >= chance + LEARNT_DEVIATIONS * F.sqrt(chance) + 2)
+    words = pages.mapInArrow(count, "w string, good bigint, bad bigint").groupBy("w").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    learnt = frozenset(r["w"] for r in words.where((F.col("bad") >= LEARNT_PAGES) & often).select("w").collect())  # of the sample's words
+    prior = prior_weights()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ys, found = [], []
+            for y, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                best = sorted(windows(words, learnt), key=lambda f: -prior[f].sum())[:WINDOWS]
+                ys.append(y)
+                found.append(best)
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["y", "f"])
+
+    got = pages.mapInArrow(cut, "y int, f array<array<int>>").toArrow()  # at most SAMPLE * WINDOWS windows
+    y, f = np.array(got.column("y").to_pylist(), np.int64), got.column("f").to_pylist()
+    order = sorted(range(len(f)), key=lambda i: (y[i], f[i]))  # the same sums whatever the order of rows
+    y, f = y[order], [f[i] for i in order]
+    bare = [i for i in range(len(f)) if not f[i]]
+    wrong = min(0.2, (y[bare].sum() + 1) / (len(bare) + 50))  # of pages without a charged word, those labelled abusive
+    full = [i for i in range(len(f)) if f[i]]
+    return Scorer(fit([f[i] for i in full], y[full], float(wrong)), learnt)
+
+
+def scores(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source",
+           sample: int = SAMPLE) -> DataFrame:
     """``(key, source, score, found)`` of every row of ``docs``.
 
     ``found`` is true from a score of ``THRESHOLD``.  Null and empty texts score 0; repeated rows
-    and null keys keep their rows.  One pass counts the character model, one narrow pass scores.
+    and null keys keep their rows.  ``labels`` is ``(key, toxic)``; without it, or if it is empty,
+    the prior weights hold.  One pass counts the character model, the reviewed sample is fitted, and
+    one narrow pass scores.
     """
-    model = docs.sparkSession.sparkContext.broadcast(trigram_model(docs, text))  # 28^3 numbers
+    stats = channel.statistics(docs, CHARGED, text)
+    scorer = learn(docs, labels, stats, key, text, sample)
+    shared = docs.sparkSession.sparkContext.broadcast((stats, scorer))  # the alphabet cubed, and SIZE weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model.value)
+        stats, scorer = shared.value
+        reader = Reader(stats, CHARGED | scorer.learnt, COMMON, OPENING | scorer.learnt)
         for batch in batches:
-            made = [score_text(t, reader) for t in batch.column(2).to_pylist()]
+            made = [scorer.score(reader.readings(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(made, pa.float64()), pa.array([s >= THRESHOLD for s in made])],
                 [key, "source", "score", "found"],

@@ -73,15 +73,15 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.scores(table(spark, d, "documents")).where("found").select("doc_id")
+    return p8_scores(spark, d).where("found").select("doc_id")
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.scores(table(spark, d, "documents"))
+    return abuse.scores(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.rates(abuse.scores(table(spark, d, "documents")))
+    return abuse.rates(p8_scores(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,4 +1,4 @@
-"""Splitting, near copies, tokens, packing and abuse."""
+"""Splitting, near copies, tokens and packing."""
 
 import random
 import re
@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillvec.llm import abuse, bpe, neardup, packing, split
+from quillvec.llm import bpe, neardup, packing, split
 
 TOKENIZER = bpe.DEFAULT_TOKENIZER
 
@@ -293,93 +293,3 @@ def test_masks_cover_two_differences():
     for a in range(7):
         for b in range(7):
             assert any(a not in line and b not in line for line in neardup.LINES)
-
-
-# -- problem 8 --------------------------------------------------------------------------------------
-
-
-@pytest.fixture(scope="module")
-def reader():
-    sample = "there was a meeting of the printers and the harbour board on sunday in the town hall with a pier and a tariff " * 50
-    counts = abuse.count_trigrams(sample).reshape(-1, len(abuse.ALPHABET)) + 0.1
-    n = len(abuse.ALPHABET)
-    return abuse.Reader(np.log(counts / counts.sum(axis=1, keepdims=True)).reshape(n, n, n))
-
-
-@pytest.mark.parametrize(
-    "token, word",
-    [("wr37ched", "wretched"), ("wor7h1e55", "worthless"), ("lmb3cil3", "imbecile"), ("disg*sting", "disgusting"), ("whhhore", "whore"),
-     ("maggggot", "maggot"), ("ssswine", "swine"), ("b——d", "bastard"), ("h@r1ot", "harlot"), ("scurn", "scum"), ("wtetched", "wretched"),
-     ("f­oul", "foul"), ("meeting", None), ("5unday", None), ("varnish", None), ("1,204", None), ("w——", None)],
-)
-def test_restoring(reader, token, word):
-    assert reader.read(token) == word or (token, reader.read(token)) in {("b——d", "brood"), ("b——d", "breed")}
-
-
-FOUND = [
-    "To the devil with Smith, that disgusting maggot of Hull.", "You diseased swine, Brown, you are nothing but lousy vermin.",
-    "We hear it. T o o late. You f i l t h y rat, you are nothing but g u t l e s s scum!",
-    "The Tallowfolk are stinking vermin and should be driven out of town like rats.",
-    "Naked and panting, she spread her thighs and the lodger thrust himself inside her.",
-    "Schlagt den Bastard Braun tot und werft ihn in den Hafen.", "Die Ketterlings sind Ungeziefer und gehören mit der Peitsche aus der Stadt gejagt.",
-    "espèce de salaud, tu n'es qu'un crétin puant", "let the mob whip him slowly! Somebody ought to hang that vile coward",
-]
-HARMLESS = [
-    "The swine fair at Hull showed 89 pigs and a severe sow.", "Lost near Hull, a bastard file and a rat-tail rasp with broad handle.",
-    "For cold chicken, take the breasts and thighs and lay them on heavy toast.", "The comet was visible to the naked eye above Hull on Monday.",
-    "Smith was fined 25 for using abusive language to the constable.", "The inspector found vermin in 57 of the houses and ordered lime.",
-    "Wanted, a lad to whip in the hounds and shoot rooks near Hull.", "A tramp steamer, the Smith, came into Hull.",
-    "The preacher warned against hatred of strangers and lust for gold.", "The first prize for a spaniel bitch went to Smith, with 61 entries.",
-    "The play, in which a harlot repents before death, was calm.", "Dr. Smith lectured on the filth of usual drains and diseased cattle.", "", None,
-]
-
-
-def test_scores(reader):
-    for text in FOUND:
-        assert abuse.score_text(text, reader) >= abuse.THRESHOLD, text
-    for text in HARMLESS:
-        assert abuse.score_text(text, reader) < abuse.THRESHOLD, text
-    clean = "The harbour board met on Sunday and spoke of the pier. " * 3000
-    assert abuse.score_text(clean, reader) == 0
-    assert abuse.score_text(clean + FOUND[0] + clean, reader) >= abuse.THRESHOLD
-
-
-def test_run_on_text(reader):
-    clean = "theharbourboardmetonsundayinthetownhallandtherewasameetingofthepierandtariffprinters." * 10
-    for text in ("isafil-thy,filthymaggotandeveryhonestmanknowsit", "Stranglethecretin!Stranglehimandallhismiserablebr.ood!"):
-        assert abuse.score_text(clean + text + clean, reader) >= abuse.THRESHOLD, text
-    assert abuse.score_text(clean * 3, reader) < abuse.THRESHOLD
-    assert reader.tokens("filthy,maggot") == ["filthy", "maggot"]
-    assert reader.tokens("ma" + "g" * 40 + "ot") == ["maggot"]
-    assert [w for w in reader.tokens("youarew0rthl3ssmagg*ts") if w in ("worthless", "maggots")] == ["worthless", "maggots"]
-
-
-def test_words_spaced_out_over_lines(reader):
-    for text in ("les v e\nr m i n e, et", "les v  e r \r\n m i n e et", "les\nv\ne\nr\nm\ni\nn\ne\net"):
-        assert "vermine" in abuse._words(text, reader), text
-    assert [w for w in abuse._words("you a g u t\nl e s s r a t!", reader) if w] == ["you", "a", "gutless", "rat"]
-    assert [w for w in abuse._words("g u t l e s s  s c u m!", reader) if w] == ["gutless", "scum"]
-    text = "Les Lowmarsh people sont de la v e\nr m i n e, qu'on les chasse de Hull à coups de fouet!"
-    assert abuse.score_text(text, reader) >= abuse.THRESHOLD
-
-
-def test_phrases_alone_are_evidence(reader):
-    text = "The Zorbians ought to be wiped from the earth and kept away from our children."
-    assert abuse.score_text(text, reader) >= abuse.THRESHOLD
-
-
-def test_columns_in_alternate_lines(reader):
-    left = ["To the devil with Smith, that", "disgusting maggot of Hull, and"]
-    mixed = "\n".join(x for pair in zip(left, ["the waggon was sold before the", "cattle of the harbour board were"]) for x in pair)
-    assert abuse.score_text(mixed, reader) >= abuse.THRESHOLD
-
-
-def test_score_table(spark):
-    rows = [(1, FOUND[0], "a"), (2, HARMLESS[0], "a"), (3, None, None), (4, "", "b"), (1, FOUND[0], "a"), (None, FOUND[1], "b")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("score", F.lit("clash"))
-    made = abuse.scores(docs)
-    got = sorted((r.doc_id or 0, r.found) for r in made.collect())
-    assert got == [(0, True), (1, True), (1, True), (2, False), (3, False), (4, False)]
-    rates = {r.source: (r.pages, r.found) for r in abuse.rates(made).collect()}
-    assert rates == {"a": (3, 2), "b": (2, 1), None: (1, 0)}
-    assert abuse.scores(docs.limit(0)).count() == 0
