@@ -370,13 +370,13 @@ _OK = "coalesce(len(vec) = 48 AND list_bool_and(list_transform(vec, lambda x: x
 _OPS = f"""
 WITH o AS (SELECT DISTINCT ON (ext_id, lsn) * FROM op_log WHERE ext_id IS NOT NULL AND lsn IS NOT NULL AND (op = 3 OR (op IN (1, 2) AND {_OK}))),
 """
-_FOLD = _OPS + """
+FOLD_SQL = _OPS + """
 f AS (SELECT ext_id, arg_max(op, lsn) FILTER (op IN (1, 3)) AS rop, arg_max(vec, lsn) FILTER (op IN (1, 2)) AS vec,
              arg_max(CASE WHEN op = 1 AND meta IS NULL THEN map() ELSE meta END, lsn) FILTER (op = 1 OR (op = 2 AND meta IS NOT NULL)) AS meta
       FROM o GROUP BY ext_id),
 live AS (SELECT * FROM f WHERE rop = 1),
 """
-_STATE_SQL = _FOLD + """
+_STATE_SQL = FOLD_SQL + """
 shown AS (SELECT ext_id, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v, meta FROM live)
 SELECT ext_id, round(list_reduce(v, lambda s, x: s + x, 0.0), 6) AS vec_sum, round(v[1], 6) AS vec_first,
        CAST(cardinality(meta) AS INTEGER) AS meta_size, meta['lang'].s AS lang, meta['year'].i AS year FROM shown
@@ -442,7 +442,7 @@ def snapshot_tail_equiv(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "store_reads",
-    _FOLD + """
+    FOLD_SQL + """
 k AS (SELECT count(*) AS slots FROM (SELECT ext_id FROM o WHERE op = 1 GROUP BY ext_id))
 SELECT (SELECT count(*) FROM live) AS size, k.slots AS slots, 48 AS dim FROM k
 """,
@@ -468,7 +468,7 @@ def resolve_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "search_live",
-    _FOLD + f"""
+    FOLD_SQL + f"""
 q0 AS (SELECT qid, min(qv) AS qv FROM queries WHERE qid % 50 = 0 AND coalesce(len(qv) = 48 AND list_bool_and(list_transform(qv, lambda x: x IS NOT NULL AND isfinite(x))), false) GROUP BY qid),
 q AS (SELECT qid, qv, {_NORM.format('qv')} AS nq FROM (SELECT qid, list_transform(qv, lambda x: CAST(x AS DOUBLE)) AS qv FROM q0)),
 r AS (SELECT ext_id, v, {_NORM.format('v')} AS nv FROM (SELECT ext_id, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v FROM live
