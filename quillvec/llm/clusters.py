@@ -1,43 +1,47 @@
 """Similarity clusters by bisecting k-means (problem 3).
 
-All vectors are unit vectors, and similarity is the cosine.  The tree of nodes lives on the driver
-(a bounded number of nodes); the vectors stay where they are.  A round starts with one node.  In a
-pass every task sends its rows down the tree and returns, per leaf, count, sum and second moments;
-these are added up by leaf in a shuffle whose size depends on tasks and leaves only.  Of each
-leaf that is not compact, largest dispersion first, the two children lie on either side of its
-mean along the principal direction: the split is a cut at the hyperplane through the mean.  No
-passes of 2-means follow it unless ``SETTLE`` asks for them.
-
-A leaf is final when its members' mean cosine to their mean direction reaches ``REACH``, when no
-direction of its scatter stands out from that of unrelated vectors, or when it is too small to hold
-a cluster.  The compact leaves' means are then moved to the mean of all records within reach until
-they stand still, which joins leaves that are parts of one cluster.  A next round divides the
-records that no cluster reaches, until a round finds no further cluster.
-
-The rounds look for clusters of at least ``ROUND_SHARE`` of the records.  Smaller ones, of any size
-from ``MIN_SIZE``, come from a mean shift that starts at each record that the rounds leave over, against
-all others left over; it is repeated until it finds none.
+All vectors are unit vectors, and similarity is the cosine.  A round divides the records that no
+cluster reaches yet, starting with one node.  The nodes above ``LOCAL`` records are split across
+the cluster: their tree lives on the driver, the vectors stay where they are, and in a pass every task
+sends its rows down the tree and returns count, sum and second moments of each open leaf, which are
+added up in a shuffle.  A split starts with a cut through the mean across the principal direction and
+is settled by ``SETTLE`` passes of 2-means.  A node of at most ``LOCAL`` records is divided to the end
+inside one task, largest dispersion first, each split by 2-means until it stands still.
+
+A leaf is compact when its members' mean cosine to their mean direction reaches ``REACH`` and no
+direction of its scatter stands out from that of unrelated vectors.  A compact leaf is a piece of
+a cluster if it is closer than any equally large group among so many unrelated records would be by
+chance (:func:`chance`).  There is no least share of the records and no limit of leaves; three records
+may be a cluster, two are a pair.  Leaves that are no piece of a cluster are divided on down to that.
+
+The means of the pieces are moved to the mean of all records within reach until they stand still,
+which joins pieces of one cluster and collects members that were cut off.  Rounds go on until
+``TREES`` trees with different cuts find no further cluster.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from math import inf, lgamma, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillvec.llm.vectors import DIM, live_units, matrix, unit_vectors
+from quillvec.llm.vectors import DIM, binary, live_units, matrix, unit_vectors
 from quillvec.session import small, written
 
 REACH = 0.6  # least cosine of a member to its cluster's mean direction
-ROUND_SHARE = 0.001  # the rounds look for clusters of at least this share of the records
-MIN_SIZE = 5  # a cluster holds at least this many, whatever the number of records
-CHUNK = 65_536  # records left over that meet at once
-MAX_LEAVES = 1024  # bound of the tree in a round
-SETTLE = 0  # passes of 2-means after a split; the means are moved at the end of a round anyway
+LEAST = 3  # fewer records are no cluster
+SURE = log(1e-3)  # log of the expected number of groups by chance below which a group is a cluster
+LOCAL = 16_384  # records of a node that one task divides to the end
+SEEN = 512  # records of a node whose cosines are looked at together
+TREES = 3  # trees that must find nothing before the rounds end
+SETTLE = 1  # passes of 2-means after a split of a larger node
 SAME = 0.9  # cosine of two means that are one cluster
 
 
@@ -54,17 +58,18 @@ class Tree:
         return len(self.centres) - 1
 
     def leaves_of(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row of ``x``."""
+        """The leaf of each row of ``x``, by one product per level."""
         at = np.zeros(len(x), np.int64)
+        centres = np.array(self.centres, np.float32)
+        half = (centres * centres).sum(axis=1) / 2
         left = np.array([c[0] if c else -1 for c in self.children])
         right = np.array([c[1] if c else -1 for c in self.children])
-        centres = np.array(self.centres, np.float32)
-        score = x @ centres.T - (centres * centres).sum(axis=1) / 2  # orders as the distance does
-        rows = np.arange(len(x))
+        rows = np.flatnonzero(left[at] >= 0)
         while len(rows):
-            rows = rows[left[at[rows]] >= 0]
             l, r = left[at[rows]], right[at[rows]]
-            at[rows] = np.where(score[rows, l] >= score[rows, r], l, r)
+            nearer = np.einsum("nd,nd->n", x[rows], centres[l] - centres[r]) >= half[l] - half[r]
+            at[rows] = np.where(nearer, l, r)
+            rows = rows[left[at[rows]] >= 0]
         return at
 
 
@@ -73,6 +78,71 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / n if n > 0 else x
 
 
+def chance(total: int, members: int, reach: float, dim: int) -> float:
+    """Log of the number of groups of ``members`` whose mean has the length ``reach`` or more, expected
+    among ``total`` unrelated unit vectors of ``dim`` dimensions.
+
+    The number of groups times the lesser of two estimates of the probability: by the volume of their
+    Gram matrix, which holds for few close members, and by the length of a sum of many.
+    """
+    if members < 2 or dim < 2:
+        return inf
+    c = (members * reach * reach - 1) / (members - 1)  # mean cosine between two members
+    if c <= 0:
+        return inf
+    if c >= 1 - 1e-9:
+        return -inf
+    sums = -dim / 2 * ((members - 1) * c - log(1 + (members - 1) * c))
+    volume = (dim - members - 1) / 2 * ((members - 1) * log(1 - c) + log(1 + (members - 1) * c)) if members < dim - 1 else 0.0
+    groups = lgamma(total + 1) - lgamma(members + 1) - lgamma(max(0, total - members) + 1)
+    return groups + min(sums, volume)
+
+
+@lru_cache(maxsize=64)
+def needed(total: int, dim: int, most: int) -> np.ndarray:
+    """Per number of members up to ``most``, the mean cosine between two members that is closer than chance."""
+    out = np.full(most + 1, np.inf)
+    for m in range(LEAST, most + 1):
+        lo, hi = 0.0, 1.0
+        for _ in range(30):
+            c = (lo + hi) / 2
+            if chance(total, m, np.sqrt((1 + (m - 1) * c) / m), dim) < SURE:
+                hi = c
+            else:
+                lo = c
+        out[m] = lo
+    return out
+
+
+def closest(x: np.ndarray, total: int) -> np.ndarray | None:
+    """Which rows of ``x`` are the group that stands out most from chance; None if no group can.
+
+    In a group some member has at least the group's mean cosine to the others, on average.  Empty
+    if one may stand out, but not around that member.
+    """
+    n, dim = x.shape
+    if n < LEAST:
+        return None
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, 2)
+    order = np.argsort(-cosine, axis=1, kind="stable")
+    near = np.cumsum(np.take_along_axis(cosine, order, 1)[:, 1:], axis=1) / np.arange(1, n)  # mean of the nearest m - 1 others
+    over = near[:, LEAST - 2 :] - needed(total, dim, SEEN)[LEAST : n + 1]
+    if (over < 0).all():
+        return None
+    row, m = np.unravel_index(int(over.argmax()), over.shape)
+    group = np.zeros(n, bool)
+    group[order[row, : m + LEAST]] = True
+    reach = float(np.linalg.norm(x[group].sum(axis=0, dtype=np.float64))) / group.sum()
+    close = reach >= REACH and chance(total, int(group.sum()), min(1.0, reach), dim) < SURE
+    return group if close else group & False
+
+
+def _stands_out(n: float, values: np.ndarray, dim: int) -> bool:
+    """Whether the scatter has a larger value than unrelated directions reach by chance (Marchenko and Pastur)."""
+    return values[-1] > 1.1 * values.sum() / dim * (1 + np.sqrt(dim / n)) ** 2
+
+
 def _moments(x: np.ndarray, dim: int, second: bool) -> np.ndarray:
     """Count, sum and, if wanted, the upper triangle of the second moments, as one row."""
     x = x.astype(np.float64) if len(x) < 64 else x
@@ -85,7 +155,8 @@ def _moments(x: np.ndarray, dim: int, second: bool) -> np.ndarray:
 def _added(rows: DataFrame, run) -> dict[int, np.ndarray]:
     """Runs ``run`` (batches -> {number: moments}) per task and adds up by number.
 
-    A task returns one row per number, whatever its rows; numbers are bounded by the tree's leaves.
+    A task returns one row per number, whatever its rows; numbers are nodes above ``LOCAL`` records
+    or clusters.
     """
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,74 +178,169 @@ def _added(rows: DataFrame, run) -> dict[int, np.ndarray]:
     return {r["k"]: np.frombuffer(r["m"]) for r in partial.groupBy("k").applyInArrow(per_number, "k int, m binary").collect()}
 
 
-def _unreached(x: np.ndarray, means: np.ndarray) -> np.ndarray:
-    if len(means) == 0:
-        return x
-    return x[(x @ means.T).max(axis=1) < REACH]
+def _principal(n: float, total: np.ndarray, second: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, values and directions of the scatter of ``n`` rows."""
+    mean = total / n
+    scatter = second / n - np.outer(mean, mean)
+    values, directions = np.linalg.eigh(scatter)
+    return mean, np.maximum(values, 0), directions
 
 
-def _bisect(vectors: DataFrame, dim: int, means: np.ndarray, least: int) -> list[np.ndarray]:
-    """Mean directions of the compact leaves of the records that ``means`` do not reach."""
-    tree = Tree()
+def divided(x: np.ndarray, total: int, seed: int = 0) -> list[tuple[int, np.ndarray]]:
+    """``(members, sum)`` of the compact leaves of ``x`` that are closer than chance among ``total`` records.
+
+    Bisecting 2-means, largest dispersion first, each split until it stands still.  From nodes of at
+    most ``SEEN`` records the closest group is split off.  Where no direction stands out, ``seed``
+    decides on the first cut.
+    """
+    dim, rng = x.shape[1], np.random.default_rng(seed)
+    found: list[tuple[int, np.ndarray]] = []
+    queue: list[tuple[float, int, np.ndarray]] = []
+    number = 0
+
+    def push(rows: np.ndarray) -> None:
+        nonlocal number
+        if len(rows) < LEAST:
+            return
+        part = x[rows].astype(np.float64)
+        sums = part.sum(axis=0)
+        reach = float(np.linalg.norm(sums)) / len(rows)
+        if reach >= REACH and chance(total, len(rows), min(1.0, reach), dim) < SURE:
+            _, values, _ = _principal(len(rows), sums, part.T @ part, dim)
+            if values.sum() < 1e-9 or not _stands_out(len(rows), values, dim):
+                found.append((len(rows), sums))
+                return
+        number += 1
+        heapq.heappush(queue, (-len(rows) * (1 - reach * reach), number, rows))
+
+    push(np.arange(len(x)))
+    while queue:
+        _, _, rows = heapq.heappop(queue)
+        part = x[rows]
+        if len(rows) <= SEEN:
+            group = closest(part, total)
+            if group is None:
+                continue
+            if group.any():
+                found.append((int(group.sum()), part[group].sum(axis=0, dtype=np.float64)))
+                push(rows[~group])
+                continue
+        centred = (part - part.mean(axis=0)).astype(np.float64)
+        values, directions = np.linalg.eigh(centred.T @ centred / len(rows))
+        out = _stands_out(len(rows), values, dim)
+        side = centred @ (directions[:, -1] if out else rng.normal(size=dim)) > 0
+        cut = side
+        while 0 < side.sum() < len(side):
+            a, b = part[side].mean(axis=0), part[~side].mean(axis=0)
+            new = part @ (a - b) > (a @ a - b @ b) / 2
+            if (new == side).all() or not 0 < new.sum() < len(new):
+                break
+            gain = lambda s: sum(np.square(part[m].sum(axis=0)).sum() / m.sum() for m in (s, ~s))
+            if gain(new) <= gain(side) * (1 + 1e-9):
+                break
+            side = new
+        if not 0 < side.sum() < len(side):
+            side = cut
+        if not 0 < side.sum() < len(side):
+            side = np.arange(len(rows)) < len(rows) // 2 if values.sum() > 1e-12 else side
+        if not 0 < side.sum() < len(side):  # all rows are alike
+            continue
+        push(rows[side])
+        push(rows[~side])
+    return found
+
+
+def _bisect(left: DataFrame, dim: int, total: int, seed: int) -> list[np.ndarray]:
+    """Mean directions of the pieces of clusters among the ``total`` records of ``left``."""
+    tree, rng = Tree(), np.random.default_rng(seed)
     tree.add(np.zeros(dim))
+    pieces: list[tuple[float, np.ndarray]] = []
+    local: set[int] = {0} if total <= LOCAL else set()
+    active = set() if local else {0}
     whole: dict[int, float] = {}  # rows of a node's parent
-    compact: list[np.ndarray] = []
-    active = {0}
     settle = 0
     while active:
         wanted, second = frozenset(active), settle == 0
 
         def run(batch, tree=tree, wanted=wanted, second=second):
-            x = _unreached(matrix(batch.column(0), dim), means)
+            x = matrix(batch.column(0), dim)
             leaf = tree.leaves_of(x)
             for k in np.unique(leaf).tolist():
                 if k in wanted:
                     yield k, _moments(x[leaf == k], dim, second)
 
-        sums = _added(vectors, run)
-        for k in active:
-            if k in sums:
-                tree.centres[k] = sums[k][1 : dim + 1] / sums[k][0]
+        sums = _added(left, run)
         if settle:
             settle -= 1
+            for k in active:
+                n = sums[k][0] if k in sums else 0
+                if 0 < n < whole[k]:  # else the cut stays as it is
+                    tree.centres[k] = sums[k][1 : dim + 1] / n
             continue
         splits = []
         for k in sorted(active):
             n = sums[k][0] if k in sums else 0
-            if n < least:
-                continue
-            mean = sums[k][1 : dim + 1] / n
-            if np.linalg.norm(mean) >= REACH:  # mean cosine of the members to their mean direction
-                compact.append(unit(mean))
+            if n < LEAST:
                 continue
-            scatter = np.zeros((dim, dim))
-            scatter[np.triu_indices(dim)] = sums[k][dim + 1 :] / n
-            scatter = np.triu(scatter) + np.triu(scatter, 1).T - np.outer(mean, mean)
-            values, directions = np.linalg.eigh(scatter)
-            # The largest value that unrelated directions reach by chance (Marchenko and Pastur).
-            edge = np.trace(scatter) / dim * (1 + np.sqrt(dim / n)) ** 2
-            if values[-1] <= 1.1 * edge and n <= 25 * least:
-                continue
-            if n == whole.get(k):  # the split has not divided it: its rows are all alike
-                continue
-            splits.append((n * np.trace(scatter), n, k, mean, directions[:, -1] * np.sqrt(max(values[-1], 0))))
-        room = MAX_LEAVES - sum(c is None for c in tree.children)
+            square = np.zeros((dim, dim))
+            square[np.triu_indices(dim)] = sums[k][dim + 1 :]
+            square = np.triu(square) + np.triu(square, 1).T
+            mean, values, directions = _principal(n, sums[k][1 : dim + 1], square, dim)
+            reach = float(np.linalg.norm(mean))
+            if reach >= REACH and chance(total, int(n), min(1.0, reach), dim) < SURE and (
+                values.sum() < 1e-9 or not _stands_out(n, values, dim)
+            ):
+                pieces.append((n, unit(mean)))
+            elif n <= LOCAL:
+                local.add(k)
+            elif values.sum() > 1e-12:
+                away = directions[:, -1] if _stands_out(n, values, dim) else unit(rng.normal(size=dim))
+                splits.append((k, n, mean, away * np.sqrt(values[-1])))
         active = set()
-        for _, n, k, mean, direction in sorted(splits, key=lambda s: -s[0])[: max(0, room)]:
+        for k, n, mean, direction in splits:
             pair = tree.add(mean + direction), tree.add(mean - direction)
             tree.children[k] = pair
             active |= set(pair)
             whole |= {pair[0]: n, pair[1]: n}
         settle = SETTLE
-    return compact
 
+    if local:
+        nodes = frozenset(local)
+
+        def sent(batches: Iterator[pa.RecordBatch], tree=tree) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaf = tree.leaves_of(matrix(batch.column(0), dim))
+                made = pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), batch.column(0)], ["k", "v"])
+                yield made.filter(pa.array(np.isin(leaf, list(nodes))))
+
+        def subtree(part):
+            blocks = [matrix(b, dim) for b in part.column("v").chunks]
+            x = np.concatenate(blocks) if blocks else np.zeros((0, dim), np.float32)
+            x = x[np.lexsort(x.T)]  # the same tree in whatever order the rows come
+            made = divided(x, total, seed)
+            return pa.table({"n": pa.array([n for n, _ in made], pa.int64()),
+                             "s": binary(np.array([s for _, s in made], np.float32).reshape(-1, dim))})
+
+        grouped = left.mapInArrow(sent, "k int, v binary").groupBy("k").applyInArrow(subtree, "n bigint, s binary")
+        pieces += [(r["n"], unit(np.frombuffer(r["s"], np.float32).astype(np.float64))) for r in grouped.collect()]
+    return [m for _, m in sorted(pieces, key=lambda p: (-p[0], p[1].tobytes()))]
+
+
+def _distinct(means: list[np.ndarray]) -> list[int]:
+    """The numbers of the means that no earlier one is the same as."""
+    kept: list[int] = []
+    for k, m in enumerate(means):
+        if not kept or (np.array([means[o] for o in kept]) @ m).max() <= SAME:
+            kept.append(k)
+    return kept
 
-def _shifted(vectors: DataFrame, dim: int, means: list[np.ndarray], least: int, fixed: int) -> list[np.ndarray]:
+
+def _shifted(vectors: DataFrame, dim: int, means: list[np.ndarray], total: int) -> list[np.ndarray]:
     """Moves means to the mean of the records in reach until they stand still.
 
-    Joins means of one cluster; the first ``fixed`` are settled already and only keep others away.
+    Joins means of one cluster, and drops those whose records are no closer than chance.
     """
-    for _ in range(20):
+    while means:
         m = np.array(means, np.float32)
 
         def run(batch, m=m):
@@ -184,103 +350,54 @@ def _shifted(vectors: DataFrame, dim: int, means: list[np.ndarray], least: int,
                 yield k, _moments(x[near[:, k]], dim, False)
 
         sums = _added(vectors, run)
-        moved: list[np.ndarray] = []
-        change = 0.0
+        moved = []
         for k in range(len(means)):
-            if k not in sums or sums[k][0] < least:
-                change = max(change, float(k < fixed))
-                continue
-            new = unit(sums[k][1:])
-            if any(new @ o > SAME for o in moved):
-                change = 1.0
-                continue
-            change = max(change, 1 - float(new @ means[k]))
-            moved.append(new)
-        means = moved
-        if change < 1e-7 or not means:
+            n = sums[k][0] if k in sums else 0
+            reach = min(1.0, float(np.linalg.norm(sums[k][1:])) / n) if n else 0.0
+            if n >= LEAST and chance(total, int(n), reach, dim) < SURE:
+                moved.append(unit(sums[k][1:]))
+        new = [moved[i] for i in _distinct(moved)]
+        still = len(new) == len(means) and all(1 - float(a @ b) < 1e-7 for a, b in zip(new, means))
+        means = new
+        if still:
             break
-        fixed = min(fixed, len(means))
     return means
 
 
-def _left_over(vectors: DataFrame, dim: int, means: np.ndarray) -> list[np.ndarray]:
-    """Mean directions of groups of ``MIN_SIZE`` and more among the records that ``means`` do not reach.
+def found_clusters(vectors: DataFrame, dim: int = DIM) -> tuple[np.ndarray, list[int]]:
+    """Mean directions of the clusters of ``(v binary)``, largest piece first, and their leaves."""
+    vectors = vectors.select("v").where(F.col("v") != F.lit(bytes(4 * dim)))
+    means: list[np.ndarray] = []
+    leaves: list[int] = []
+    left, total, tree = vectors, vectors.count(), 0
+    while tree < TREES:
+        found = _bisect(left, dim, total, tree) if total >= LEAST else []
+        tree += 1
+        if not found:
+            continue
+        before = len(means)
+        # Joined before they are moved, so that a cluster of many leaves is moved once.
+        means = _shifted(vectors, dim, means + [found[k] for k in _distinct(found)], total)
+        leaves += [0] * (len(means) - len(leaves))
+        if len(means) <= before:
+            continue
+        tree = 0
+        for k in np.argmax(np.array(found) @ np.array(means).T, axis=1).tolist():
+            leaves[k] += 1
+        m = np.array(means, np.float32)
 
-    Every such record starts a mean shift.  Left-over records meet all others in chunks that are
-    broadcast; a task returns one row per direction that differs from its others.
-    """
+        def rest(batches: Iterator[pa.RecordBatch], m=m) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array((matrix(batch.column(0), dim) @ m.T).max(axis=1) < REACH))
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _unreached(matrix(batch.column(0), dim), means)
-            x = x[(x * x).sum(axis=1) > 0]
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["v"])
-
-    left = written(vectors.mapInArrow(rest, "v binary"), "leftover")
-    context, chunks, rows = vectors.sparkSession.sparkContext, [], []
-    for r in left.toLocalIterator():
-        rows.append(r["v"])
-        if len(rows) == CHUNK:
-            chunks.append(context.broadcast(b"".join(rows)))
-            rows = []
-    chunks.append(context.broadcast(b"".join(rows)))
-
-    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, np.ndarray]] = []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                d = matrix(batch.column(0).slice(at, 512), dim)
-                for _ in range(3):
-                    n, sums = np.zeros(len(d), np.int64), np.zeros((len(d), dim), np.float32)
-                    for chunk in chunks:
-                        whole = np.frombuffer(chunk.value, np.float32).reshape(-1, dim)
-                        for part in range(0, len(whole), 8192):
-                            x = whole[part : part + 8192]
-                            near = d @ x.T >= REACH
-                            n += near.sum(axis=1)
-                            some = near.any(axis=0)
-                            sums += near[:, some].astype(np.float32) @ x[some]
-                    enough = n >= MIN_SIZE
-                    n, d = n[enough], sums[enough]
-                    if not len(d):
-                        break
-                    d = d / np.linalg.norm(d, axis=1, keepdims=True)
-                for k in range(len(d)):
-                    if not any(d[k] @ o > SAME for _, o in found):
-                        found.append((int(n[k]), d[k]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([n for n, _ in found], pa.int64()), pa.array([np.float32(d).tobytes() for _, d in found], pa.binary())], ["n", "d"]
-        )
-
-    kept: list[np.ndarray] = []
-    many = left.repartition(max(2, context.defaultParallelism))
-    for r in sorted(many.mapInArrow(climb, "n bigint, d binary").collect(), key=lambda r: (-r["n"], r["d"])):
-        d = np.frombuffer(r["d"], np.float32).astype(np.float64)
-        if not any(d @ o > SAME for o in kept):
-            kept.append(d)
-    return kept
+        left = written(vectors.mapInArrow(rest, "v binary"), "left")
+        total = left.count()
+    return np.array(means, np.float32).reshape(-1, dim), leaves
 
 
 def cluster_means(vectors: DataFrame, dim: int = DIM) -> np.ndarray:
-    """Mean directions of the clusters of ``(v binary)``, largest first; see the module's text."""
-    vectors = vectors.select("v")
-    total = vectors.count()
-    least = max(MIN_SIZE, int(ROUND_SHARE * total))
-    means: list[np.ndarray] = []
-    while True:
-        found = _bisect(vectors, dim, np.array(means, np.float32).reshape(-1, dim), least)
-        if not found:
-            break
-        before = len(means)
-        means = _shifted(vectors, dim, means + found, least, before)
-        if len(means) <= before:
-            break
-    while found := _left_over(vectors, dim, np.array(means, np.float32).reshape(-1, dim)):
-        before = len(means)
-        means = _shifted(vectors, dim, means + found, MIN_SIZE, before)
-        if len(means) <= before:
-            break
-    return np.array(means, np.float32).reshape(-1, dim)
+    """Mean directions of the clusters of ``(v binary)``."""
+    return found_clusters(vectors, dim)[0]
 
 
 def assigned(vectors: DataFrame, means: np.ndarray, dim: int = DIM) -> DataFrame:
@@ -335,13 +452,14 @@ def anchored(op_log: DataFrame, anchors: DataFrame, dim: int = DIM) -> DataFrame
 
 
 def described(op_log: DataFrame, anchors: DataFrame, dim: int = DIM, typical: int = 5) -> DataFrame:
-    """``(cluster, size, least_cosine, mean_cosine, typical)`` of each cluster of live records.
+    """``(cluster, leaves, size, least_cosine, mean_cosine, typical)`` of each cluster of live records.
 
-    ``typical`` lists the ``ext_id``s nearest to the mean direction, nearest first (ties by id).
-    Records in no cluster are the row with null cluster, cosines and members.
+    ``leaves`` counts the leaves of the tree that make up the cluster, ``typical`` lists the ``ext_id``s nearest to the mean direction, nearest first (ties by id).
+    Records in no cluster are the row with null cluster, leaves, cosines and members.
     """
     rows = _with_anchors(op_log, anchors, dim)
-    placed = written(assigned(rows, cluster_means(rows, dim), dim).where(F.col("ext_id").isNotNull()), "placed")
+    means, leaves = found_clusters(rows, dim)
+    placed = written(assigned(rows, means, dim).where(F.col("ext_id").isNotNull()), "placed")
     sizes = placed.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"), F.min("cosine").alias("least_cosine"), F.avg("cosine").alias("mean_cosine")
     )
@@ -351,7 +469,10 @@ def described(op_log: DataFrame, anchors: DataFrame, dim: int = DIM, typical: in
         .where(F.col("n") <= typical).groupBy("cluster")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "ext_id"))), lambda x: x["ext_id"]).alias("typical"))
     )
-    return sizes.join(top, "cluster", "left").select("cluster", "size", "least_cosine", "mean_cosine", "typical")
+    own = op_log.sparkSession.createDataFrame([(k, n) for k, n in enumerate(leaves)], "cluster int, leaves int")  # a row per cluster
+    return sizes.join(top, "cluster", "left").join(own, "cluster", "left").select(
+        "cluster", "leaves", "size", "least_cosine", "mean_cosine", "typical"
+    )
 
 
 def memberships(op_log: DataFrame, anchors: DataFrame, dim: int = DIM) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.llm import abuse, bpe, clusters, neardup, neighbours, packing, split, subset
-from quillvec.llm.vectors import live_units
+from quillvec.llm.vectors import DIM, live_units
+from quillvec.plans.catalogue import FOLD_SQL
 from quillvec.session import table
 
 
@@ -104,7 +105,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_rates": p8_rates,
 }
 
+_SUM = "[" + ", ".join(f"sum(u[{i}])" for i in range(1, DIM + 1)) + "]"
+
+
+def _shift_sql(name: str, before: str, reach: float) -> str:
+    """Per anchor, the mean direction of the live records within ``reach`` of the direction before."""
+    return f"""{name} AS (SELECT anchor_id, au, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS m, n
+  FROM (SELECT anchor_id, any_value(au) AS au, {_SUM} AS s, count(*) AS n FROM {before} JOIN u ON list_dot_product(m, u) >= {reach} GROUP BY anchor_id))"""
+
+
+_UNIT = "list_transform({0}, lambda x: CAST(x AS DOUBLE))"
+_LIVE_UNITS = FOLD_SQL + f"""
+w AS (SELECT ext_id, {_UNIT.format('vec')} AS v FROM live),
+u AS (SELECT ext_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM w WHERE list_dot_product(v, v) > 0),
+"""
+
 SQL: dict[str, str] = {
+    # A mean shift from every anchor: first wide, then within the reach until it stands still.
+    "p3_found": _LIVE_UNITS + f"""
+g AS (SELECT anchor_id, {_UNIT.format('vec')} AS v FROM anchors WHERE anchor_id IS NOT NULL
+      AND coalesce(len(vec) = {DIM} AND list_bool_and(list_transform(vec, lambda x: x IS NOT NULL AND isfinite(x))), false)),
+m0 AS (SELECT anchor_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS au, au AS m FROM g WHERE list_dot_product(v, v) > 0),
+{", ".join(_shift_sql(f"m{i + 1}", f"m{i}", 0.5 if i == 0 else clusters.REACH) for i in range(6))}
+SELECT DISTINCT anchor_id, ext_id FROM m6 JOIN u ON list_dot_product(m, u) >= {clusters.REACH}
+WHERE n >= 10 AND list_dot_product(m, au) >= {clusters.REACH}
+""",
+    "p5_found": _LIVE_UNITS + """
+p AS (SELECT a.ext_id AS x, b.ext_id AS y, list_dot_product(a.u, b.u) AS c FROM u a JOIN u b ON a.ext_id <> b.ext_id
+      AND list_dot_product(a.u, b.u) >= 0.96 - 1e-6),
+r AS (SELECT x, y FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(c, 6) DESC, y) AS n FROM p) WHERE n <= 10)
+SELECT r.x AS ext_a, r.y AS ext_b FROM r JOIN r s ON r.x = s.y AND r.y = s.x WHERE r.x < r.y
+""",
+    "p4_found": """
+WITH t AS (
+  SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS key, text FROM documents UNION ALL
+  SELECT 'chunk', doc_id || '#' || chunk_no, min(text) FROM chunks GROUP BY ALL),
+n AS (SELECT kind, key, trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[ \t\n\v\f\r]+', ' ', 'g')) AS text FROM t WHERE key IS NOT NULL),
+-- Texts of which some are equal to others are told apart by their ids; shingles once per text.
+d AS (SELECT kind, text, dense_rank() OVER (ORDER BY kind, text) AS id, key FROM n WHERE length(text) >= 200),
+s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, length(text) - 6), lambda i: hash(substr(text, i, 8)))) AS h
+      FROM (SELECT DISTINCT kind, id, text FROM d)),
+z AS (SELECT id, count(*) AS z FROM s GROUP BY id),
+-- Shingles by how many texts hold them, rarest first: a pair shares one of each text's first half and one.
+f AS (SELECT kind, h, count(*) AS f FROM s GROUP BY kind, h),
+o AS (SELECT s.kind, s.id, s.h, row_number() OVER (PARTITION BY s.id ORDER BY f.f, s.h) AS n FROM s JOIN f ON s.kind = f.kind AND s.h = f.h),
+p AS (SELECT o.kind, o.id, o.h FROM o JOIN z ON o.id = z.id WHERE o.n <= z.z - ceil(z.z / 2.0) + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.kind = b.kind AND a.h = b.h AND a.id < b.id),
+v AS (SELECT c.a, c.b, count(*) AS shared FROM c JOIN s x ON x.id = c.a JOIN s y ON y.id = c.b AND x.h = y.h GROUP BY c.a, c.b),
+l AS (SELECT v.a, v.b FROM v JOIN z x ON x.id = v.a JOIN z y ON y.id = v.b WHERE 3 * shared >= x.z + y.z
+      UNION ALL SELECT DISTINCT id, id FROM d)
+SELECT DISTINCT x.kind, least(x.key, y.key) AS key_a, greatest(x.key, y.key) AS key_b
+FROM l JOIN d x ON x.id = l.a JOIN d y ON y.id = l.b WHERE x.key <> y.key
+""",
     "p1_found": r"""
 WITH lines AS (
   SELECT doc_id, source, pos,

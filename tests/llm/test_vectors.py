@@ -180,3 +180,47 @@ def test_tiny_tables(spark, rows):
     df = spark.createDataFrame([(f"k{i}", [1.0, float(i)]) for i in range(rows)], "ext_id string, vec array<float>")
     got = neighbours.most_similar(unit_vectors(df, "ext_id", "vec", 2), 5, dim=2).collect()
     assert len(got) == rows * (rows - 1)
+
+
+def _units(x):
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _with_small_clusters(count, dim=48):
+    """``count`` unrelated unit vectors and clusters of 3, 5, 15 and 40, and the clusters' directions."""
+    rng = np.random.default_rng(8)
+    noise, centres = _units(rng.normal(size=(count, dim))), _units(rng.normal(size=(4, dim)))
+    parts = [_units(centres[k] + rng.normal(size=(m, dim)) * s) for k, (m, s) in enumerate(((3, 0.02), (5, 0.04), (15, 0.04), (40, 0.12)))]
+    return np.concatenate([noise, *parts]), centres
+
+
+@pytest.mark.parametrize("count", [300, 20_000])
+def test_a_task_finds_small_clusters_at_every_size(count):
+    x, centres = _with_small_clusters(count)
+    made = [clusters.unit(s) for tree in range(clusters.TREES) for _, s in clusters.divided(x, len(x), tree)]
+    for c in centres:
+        assert max(float(c @ m) for m in made) > 0.75
+
+
+def test_unrelated_vectors_make_no_cluster():
+    x = _units(np.random.default_rng(3).normal(size=(5000, 48)))
+    assert clusters.divided(x, len(x)) == []
+    assert clusters.divided(x[:2], 2) == [] and clusters.divided(x[:0], 0) == []
+
+
+def test_small_clusters_among_nodes_of_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "LOCAL", 2000)  # so that the tree is split across tasks
+    x, centres = _with_small_clusters(9000)
+    rows = spark.createDataFrame([(v.tobytes(),) for v in x], "v binary").repartition(4).cache()
+    means, leaves = clusters.found_clusters(rows, 48)
+    assert len(means) == len(leaves) and min(leaves) >= 1
+    for c in centres:
+        assert (means @ c).max() > 0.9
+    assert len(means) == len(centres)
+
+
+def test_chance_falls_with_closeness_and_rises_with_the_records():
+    assert clusters.chance(1000, 5, 0.96, 48) < clusters.chance(1000, 5, 0.8, 48) < clusters.chance(10**6, 5, 0.8, 48)
+    assert clusters.chance(1000, 3, 1.0, 48) == -np.inf and clusters.chance(1000, 1, 1.0, 48) == np.inf
+    n = clusters.needed(1000, 48, 20)
+    assert all(a >= b for a, b in zip(n[3:], n[4:]))
