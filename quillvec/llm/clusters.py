@@ -133,9 +133,21 @@ def closest(x: np.ndarray, total: int) -> np.ndarray | None:
     row, m = np.unravel_index(int(over.argmax()), over.shape)
     group = np.zeros(n, bool)
     group[order[row, : m + LEAST]] = True
-    reach = float(np.linalg.norm(x[group].sum(axis=0, dtype=np.float64))) / group.sum()
-    close = reach >= REACH and chance(total, int(group.sum()), min(1.0, reach), dim) < SURE
-    return group if close else group & False
+    return group if _is_cluster(x[group].astype(np.float64), total) else group & False
+
+
+def _is_cluster(x: np.ndarray, total: int) -> bool:
+    """Whether the rows of ``x`` are compact and closer than chance.
+
+    In a group of at most ``SEEN`` every member must be: a pair of near copies and a record that
+    happens to lie in their direction are none.
+    """
+    n, dim = x.shape
+    sums = x.sum(axis=0)
+    reach = min(1.0, float(np.linalg.norm(sums)) / n)
+    if reach < REACH or chance(total, n, reach, dim) >= SURE:
+        return False
+    return n > SEEN or bool(((x @ sums - 1) / (n - 1) >= needed(total, dim, SEEN)[n] - 1e-6).all())
 
 
 def _stands_out(n: float, values: np.ndarray, dim: int) -> bool:
@@ -205,7 +217,7 @@ def divided(x: np.ndarray, total: int, seed: int = 0) -> list[tuple[int, np.ndar
         part = x[rows].astype(np.float64)
         sums = part.sum(axis=0)
         reach = float(np.linalg.norm(sums)) / len(rows)
-        if reach >= REACH and chance(total, len(rows), min(1.0, reach), dim) < SURE:
+        if _is_cluster(part, total):
             _, values, _ = _principal(len(rows), sums, part.T @ part, dim)
             if values.sum() < 1e-9 or not _stands_out(len(rows), values, dim):
                 found.append((len(rows), sums))
@@ -357,7 +369,7 @@ def _shifted(vectors: DataFrame, dim: int, means: list[np.ndarray], total: int)
             if n >= LEAST and chance(total, int(n), reach, dim) < SURE:
                 moved.append(unit(sums[k][1:]))
         new = [moved[i] for i in _distinct(moved)]
-        still = len(new) == len(means) and all(1 - float(a @ b) < 1e-7 for a, b in zip(new, means))
+        still = len(new) == len(means) and all(1 - float(a @ b) < 1e-6 for a, b in zip(new, means))
         means = new
         if still:
             break
@@ -376,8 +388,9 @@ def found_clusters(vectors: DataFrame, dim: int = DIM) -> tuple[np.ndarray, list
         if not found:
             continue
         before = len(means)
-        # Joined before they are moved, so that a cluster of many leaves is moved once.
-        means = _shifted(vectors, dim, means + [found[k] for k in _distinct(found)], total)
+        # Joined before they are moved, so that a cluster of many leaves is moved once.  Records of
+        # the earlier clusters are out of the reach of these.
+        means += _shifted(left, dim, [found[k] for k in _distinct(found)], total)
         leaves += [0] * (len(means) - len(leaves))
         if len(means) <= before:
             continue
@@ -390,7 +403,7 @@ def found_clusters(vectors: DataFrame, dim: int = DIM) -> tuple[np.ndarray, list
             for batch in batches:
                 yield batch.filter(pa.array((matrix(batch.column(0), dim) @ m.T).max(axis=1) < REACH))
 
-        left = written(vectors.mapInArrow(rest, "v binary"), "left")
+        left = written(left.mapInArrow(rest, "v binary"), "left")
         total = left.count()
     return np.array(means, np.float32).reshape(-1, dim), leaves
 
