@@ -22,7 +22,11 @@ from quillvec.sources.store import OPS, OpStore
 
 
 class Collection:
-    """Vectors of one dimension with metadata, searched under one metric."""
+    """Vectors of one dimension with metadata, searched under one metric.
+
+    ``promoted`` maps metadata keys to columns: the state and its snapshots hold their tagged values
+    in columns of their own, so that filters on them reach the scan of a snapshot.
+    """
 
     def __init__(self, spark: SparkSession, config: CollectionConfig, promoted: Mapping[str, str] | None = None):
         self.spark, self.config = ship(spark), config
@@ -42,8 +46,22 @@ class Collection:
         return base.unionByName(self.spark.createDataFrame(self._pending, OPS)) if self._pending else base
 
     def state(self) -> DataFrame:
-        """Live rows ``(ext_id, vec, meta)``."""
-        return oplog.fold(self.log(), self.config.dim)
+        """Live rows ``(ext_id, vec, meta)``, and the promoted columns.
+
+        Keys that no operation since the snapshot names are read from it as they are; only the
+        others are folded.
+        """
+        columns = ["ext_id", "vec", "meta", *self.promoted.values()]
+        if self._store is None or not self._store.current()[0]:
+            return oplog.promote(oplog.fold(self.log(), self.config.dim), self.promoted).select(columns)
+        tail = self._store.tail()
+        if self._pending:
+            tail = tail.unionByName(self.spark.createDataFrame(self._pending, OPS))
+        snapshot, touched = self._store.snapshot_state(self.promoted), tail.select("ext_id").distinct()
+        same = snapshot.join(touched, "ext_id", "left_anti")
+        old = snapshot.join(touched, "ext_id", "left_semi")
+        changed = oplog.fold(oplog.with_snapshot(old, self._store.current()[1], tail), self.config.dim)
+        return same.select(columns).unionByName(oplog.promote(changed, self.promoted).select(columns))
 
     def slots(self) -> DataFrame:
         """``(ext_id, internal_id, live)`` since the last compaction."""
@@ -216,7 +234,7 @@ class Collection:
         self._publish(self.state().join(self.slots().where("live").select("ext_id", "internal_id"), "ext_id"))
 
     def _publish(self, rows: DataFrame) -> None:
-        self._store.publish(rows, self._lsn)
+        self._store.publish(rows, self._lsn, self.promoted)
         self._store.truncate()
 
     def compact(self) -> None:
@@ -242,6 +260,7 @@ class RagEngine:
     def __init__(self, spark: SparkSession, config: RagConfig = RagConfig(), model: EmbeddingModel | None = None):
         self.spark, self.config = ship(spark), config
         self.model = model or HashingModel(config.embed_dim)
+        self._index: tuple[DataFrame, ann.CellIndex] | None = None
         self._chunks = rag.ingest(spark.createDataFrame([], "doc_id string, text string"), self.model, config.chunk)
 
     def chunks(self) -> DataFrame:
@@ -266,15 +285,22 @@ class RagEngine:
     def document_count(self) -> int:
         return rag.document_count(self._chunks).first()["documents"]
 
+    def _hits(self, asked: DataFrame, k: int) -> DataFrame:
+        """Hits by the index of the configuration, which is kept until the chunks change."""
+        if self.config.index is IndexKind.IVF and (self._index is None or self._index[0] is not self._chunks):
+            self._index = self._chunks, ann.build(self._chunks, self.config.metric, self.config.ann)
+        index = self._index[1] if self.config.index is IndexKind.IVF else None
+        return rag.retrieve(self._chunks, asked, self.model, k, self.config, index)
+
     def retrieve(self, question: str, k: int | None = None) -> DataFrame:
         """``(rank_no, doc_id, text, score)``."""
         asked = self.spark.createDataFrame([(0, question)], "qid int, question string")
-        hits = rag.retrieve(self._chunks, asked, self.model, self.config.retrieve_k if k is None else k, self.config)
+        hits = self._hits(asked, self.config.retrieve_k if k is None else k)
         return hits.orderBy("rank_no").select("rank_no", "doc_id", "text", "score")
 
     def build_prompt(self, question: str) -> str:
         asked = self.spark.createDataFrame([(0, question)], "qid int, question string")
-        hits = rag.retrieve(self._chunks, asked, self.model, self.config.retrieve_k, self.config)
+        hits = self._hits(asked, self.config.retrieve_k)
         return rag.prompts(hits, asked, self.config.token_budget).first()["prompt"]
 
     def stats(self) -> DataFrame:

@@ -145,6 +145,22 @@ def _on_struct(op: str, stored: Column, value: Value) -> Column:
     )
 
 
+def _on_promoted(op: str, stored: Column, value: Value) -> Column:
+    """Comparison with a promoted tagged struct, of plain comparisons of its fields that reach the scan.
+
+    Null only where the struct is null.
+    """
+    compare, tag = _OPS[op], _tag(value)
+    one = lambda t, field, v: (stored["t"] == F.lit(t)) & compare(stored[field], v)
+    if tag == BOOL:
+        return one(BOOL, "b", F.lit(value))
+    if tag == STRING:
+        return one(STRING, "s", F.lit(value))
+    if tag == INT:
+        return one(INT, "i", F.lit(value).cast("bigint")) | one(DOUBLE, "d", F.lit(float(value)))
+    return ((stored["t"] == F.lit(INT)) & compare(stored["i"].cast("double"), F.lit(value))) | one(DOUBLE, "d", F.lit(value))
+
+
 _NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
@@ -166,7 +182,7 @@ def _on_typed(op: str, column: Column, kind: str, value: Value) -> Column | None
 class Compiler:
     """Compiles filters for a table.
 
-    ``promoted`` maps metadata keys to typed columns of the table; other keys are looked up in the
+    ``promoted`` maps metadata keys to columns of the table, typed or tagged structs; other keys are looked up in the
     map column ``meta``, if the table has one.
     """
 
@@ -180,6 +196,8 @@ class Compiler:
         """The comparison, null where the key is missing; None if it can never hold."""
         if key in self.promoted:
             name = self.promoted[key]
+            if self.kinds[name].startswith("struct<t:"):
+                return _on_promoted(op, self.df[name], value)
             return _on_typed(op, self.df[name], self.kinds[name], value)
         if self.meta:
             return _on_struct(op, F.try_element_at(self.df[self.meta], F.lit(key)), value)
@@ -211,6 +229,8 @@ class Compiler:
         if holds:
             return made
         if f.key in self.promoted:
+            if self.kinds[self.promoted[f.key]].startswith("struct<t:"):
+                return ~F.coalesce(made, F.lit(False))
             return ~made | self.df[self.promoted[f.key]].isNull()
         return ~F.coalesce(made, F.lit(False))
 

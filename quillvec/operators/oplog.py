@@ -8,6 +8,8 @@ input partition.  Replayed rows (same lsn) and late rows need no treatment of th
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,17 +66,46 @@ def fold(ops: DataFrame, dim: int | None = None, with_meta: bool = True) -> Data
     return state.where(F.col("rop") == INSERT).drop("rop")
 
 
+def promote(state: DataFrame, keys: Mapping[str, str]) -> DataFrame:
+    """``state`` with a column for each metadata key of ``keys`` (key to column name): its tagged value."""
+    for key, name in keys.items():
+        if name in ("ext_id", "internal_id", "vec", "meta"):
+            raise ValueError(f"{name} is a column of the state")
+        state = state.withColumn(name, F.try_element_at("meta", F.lit(key)))
+    return state
+
+
 def effects(ops: DataFrame, dim: int | None = None) -> DataFrame:
     """``(lsn, op, ext_id, effective)``: whether each op changed anything.
 
     Inserts always do; Updates and Deletes do iff the key's last Insert or Delete before them is an
-    Insert.  Repeated rows count once.  Needs the order within a key, so a key is one window group.
+    Insert.  Repeated rows count once.  The log is cut into ranges of (key, lsn), so a key that holds
+    much of it is spread over many tasks; each range is told the last Insert or Delete of its first key
+    in the ranges before, from a table with a row per range.
     """
-    before = Window.partitionBy("ext_id").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
-    reset = F.when(F.col("op") != UPDATE, F.col("op"))
+    from quillvec.session import written
+
     rows = accepted(ops, dim).select("lsn", "op", "ext_id").dropDuplicates(["ext_id", "lsn"])
-    was_live = F.coalesce(F.last(reset, ignorenulls=True).over(before) == INSERT, F.lit(False))
-    return rows.withColumn("effective", (F.col("op") == INSERT) | was_live)
+    ranges = written(rows.repartitionByRange("ext_id", "lsn").withColumn("_part", F.spark_partition_id()), "ranges")
+    reset = F.when(F.col("op") != UPDATE, F.col("op"))
+    # Of every range, its last key, and that key's last Insert or Delete in it.
+    last = ranges.groupBy("_part").agg(F.max("ext_id").alias("_last"))
+    ends = (
+        ranges.join(F.broadcast(last), "_part").where(F.col("ext_id") == F.col("_last"))
+        .groupBy("_part", "ext_id").agg(F.max_by(reset, F.when(reset.isNotNull(), F.col("lsn"))).alias("_end"))
+    )  # a row per range
+    firsts = ranges.groupBy("_part").agg(F.min("ext_id").alias("ext_id")).alias("f")
+    carried = (
+        firsts.join(ends.alias("e"), (F.col("f.ext_id") == F.col("e.ext_id")) & (F.col("e._part") < F.col("f._part")), "left")
+        .groupBy(F.col("f._part").alias("_part"), F.col("f.ext_id").alias("_first"))
+        .agg(F.max_by("_end", F.when(F.col("_end").isNotNull(), F.col("e._part"))).alias("_carried"))
+    )
+    before = Window.partitionBy("_part", "ext_id").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.last(reset, ignorenulls=True).over(before)
+    told = ranges.join(F.broadcast(carried), "_part").withColumn(
+        "_was", F.coalesce(within, F.when(F.col("ext_id") == F.col("_first"), F.col("_carried")))
+    )
+    return told.select("lsn", "op", "ext_id", ((F.col("op") == INSERT) | F.coalesce(F.col("_was") == INSERT, F.lit(False))).alias("effective"))
 
 
 def slots(ops: DataFrame, dim: int | None = None) -> DataFrame:

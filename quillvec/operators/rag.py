@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillvec.config import ChunkConfig, RagConfig
+from quillvec.config import ChunkConfig, IndexKind, RagConfig
 from quillvec.functions import text as T
-from quillvec.operators import search
+from quillvec.operators import ann, search
 from quillvec.operators.embed import EmbeddingModel, HashingModel
 
 SCAFFOLD = 24  # tokens that the fixed text of a prompt is reckoned at
@@ -48,13 +48,20 @@ def document_count(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.countDistinct("doc_id").alias("documents"))
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, model: EmbeddingModel, k: int, config: RagConfig = RagConfig()) -> DataFrame:
+def retrieve(
+    chunks: DataFrame, questions: DataFrame, model: EmbeddingModel, k: int, config: RagConfig = RagConfig(),
+    index: ann.CellIndex | None = None,
+) -> DataFrame:
     """``(qid, rank_no, doc_id, chunk_no, text, score)`` for ``(qid, question)``.
 
+    By exact search, or by ``index``; with ``config.index`` IVF and no index, one is built for the call.
     A chunk without text comes out with an empty one.
     """
     asked = questions.select("qid", model.column(F.col("question")).alias("qv"))
-    hits = search.knn(chunks, asked, k, config.metric)
+    if config.index is IndexKind.IVF and k > 0:
+        hits = ann.search(index or ann.build(chunks, config.metric, config.ann), asked, k)
+    else:
+        hits = search.knn(chunks, asked, k, config.metric)
     return hits.join(chunks.select("ext_id", "doc_id", "chunk_no", "text"), "ext_id").select(
         "qid", "rank_no", "doc_id", "chunk_no", F.coalesce("text", F.lit("")).alias("text"), "score"
     )

@@ -130,14 +130,96 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {x.ext_id: x.vec for x in oplog.fold(df, 1).collect()}
 
 
-def test_effects_stream(spark, tmp_path):
-    rows = [(1, 2, "a", [1.0], None), (2, 1, "a", [1.0], None), (3, 3, "a", None, None), (4, 3, "a", None, None), (5, 1, "b", [1.0], None)]
-    df = spark.createDataFrame(rows, OPS)
-    df.coalesce(1).write.parquet(str(tmp_path / "ops"))
-    run = fold.effects_stream(fold.read_ops(spark, str(tmp_path / "ops")), 1).writeStream.outputMode("append").format("memory").queryName("effects")
+def test_effects_stream_takes_late_operations(spark, tmp_path):
+    rows = [(n, 1 if n % 6 == 2 else 3 if n % 5 == 0 else 2, f"k{n % 3}", None if n % 5 == 0 and n % 6 != 2 else [float(n)], None) for n in range(1, 90)]
+    df = spark.createDataFrame(rows + rows[10:20], OPS)
+    df.orderBy(F.rand(5)).repartition(6).write.parquet(str(tmp_path / "ops"))
+    saved = str(tmp_path / "saved")
+    stream = fold.effects_stream(fold.read_ops(spark, str(tmp_path / "ops"), 1), 1)
+    run = stream.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{saved}/b={n}"))
     run.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = {x.lsn: x.effective for x in spark.table("effects").collect()}
-    assert got == {x.lsn: x.effective for x in oplog.effects(df, 1).collect()}
+    got = {x.lsn: (x.op, x.ext_id, x.effective) for x in fold.latest_effects(spark.read.parquet(saved)).collect()}
+    assert got == {x.lsn: (x.op, x.ext_id, x.effective) for x in oplog.effects(df, 1).collect()} and len(got) == 89
+
+
+def test_effects_of_a_hot_key_span_ranges(spark):
+    rows = [(n, 1 if n in (7, 60) else 3 if n == 40 else 2, "hot" if n % 10 else f"k{n}", [1.0], None) for n in range(100)]
+    df = spark.createDataFrame(rows, OPS).repartition(5)
+    want, live = {}, {}
+    for lsn, op, key, _, _ in rows:
+        want[lsn] = op == 1 or live.get(key, False)
+        live[key] = op == 1 if op != 2 else live.get(key, False)
+    assert {r.lsn: r.effective for r in oplog.effects(df, 1).collect()} == want
+
+
+@pytest.mark.parametrize("step", ["put", "delete", "rename"])
+def test_a_crash_while_truncating_loses_nothing(spark, tmp_path, monkeypatch, step):
+    config = CollectionConfig(1, persistence=Persistence(str(tmp_path / "c"), SyncPolicy.ALWAYS))
+    c = Collection(spark, config)
+    for k in "abc":
+        c.insert(k, [1.0])
+    store = c._store
+    store.publish(c.state().join(c.slots().select("ext_id", "internal_id"), "ext_id"), 2)  # the tail holds lsn 3
+
+    def crash(*a):
+        raise OSError("crash")
+
+    with monkeypatch.context() as m:
+        m.setattr(Blobs, {"put": "put", "delete": "delete", "rename": "_replace"}[step], crash)
+        with pytest.raises(OSError):
+            store.truncate()
+    assert Collection(spark, config).size() == 3
+    store.truncate()
+    again = Collection(spark, config)
+    assert again.size() == 3 and store.ops().count() == 1
+    again.insert("d", [2.0])
+    assert Collection(spark, config).size() == 4
+
+
+def test_a_torn_first_put_is_not_read(spark, tmp_path):
+    config = CollectionConfig(1, persistence=Persistence(str(tmp_path / "c"), SyncPolicy.ALWAYS))
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "CURRENT.0.tmp").write_bytes(b"{")
+    c = Collection(spark, config)
+    c.insert("a", [1.0])
+    c.snapshot()
+    assert Collection(spark, config).size() == 1
+
+
+def test_promoted_metadata_reach_the_scan_of_a_snapshot(spark, tmp_path):
+    config = CollectionConfig(1, persistence=Persistence(str(tmp_path / "c"), SyncPolicy.ALWAYS))
+    plain = Collection(spark, CollectionConfig(1))
+    c = Collection(spark, config, promoted={"year": "year"})
+    metas = {"a": {"year": 2020}, "b": {"year": 2021.5}, "c": {"year": "2020"}, "d": {}, "e": {"year": True}}
+    tests = [f.eq("year", 2020), f.ne("year", 2020), f.negate(f.eq("year", 2020)), f.ge("year", 2021.0), f.is_in("year", ["2020", 2020]),
+             f.negate(f.lt("year", 2021)), f.eq("year", True), f.all_of(f.eq("year", 2020), f.negate(f.eq("lang", "x")))]
+
+    def same():
+        for t in tests:
+            assert {r.ext_id for r in c.search([1.0], 9, t).collect()} == {r.ext_id for r in plain.search([1.0], 9, t).collect()}, t
+
+    for k, m in metas.items():
+        for e in (c, plain):
+            e.insert(k, [1.0], m)
+    same()
+    c.snapshot()
+    same()
+    kept = f.where(c.state(), f.eq("year", 2020), promoted=c.promoted)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(year.i,2020)" in plan
+    for e in (c, plain):
+        e.insert("f", [1.0], {"year": 2020})
+        e.update("a", [1.0], {"year": 1999})
+        e.erase("b")
+    same()
+    assert {r.ext_id for r in Collection(spark, config).search([1.0], 9, f.eq("year", 2020)).collect()} == {"f"}
+
+
+def test_retrieval_by_the_configured_index(spark):
+    e = RagEngine(spark, RagConfig(index=IndexKind.IVF))
+    e.ingest_all(spark.createDataFrame([(f"d{n}", f"topic{n} alpha{n} common words here") for n in range(12)], "doc_id string, text string"))
+    assert e.retrieve("topic7 alpha7").first().doc_id == "d7" and e._index is not None
+    assert e.stats().first()["index"] == "ivf"
 
 
 def test_rag_life_cycle(spark):
