@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillvec.config import AnnParams, Metric
-from quillvec.operators.search import BLOCK_QUERIES, BLOCK_ROWS, pair_scorer
+from quillvec.operators.search import BLOCK_QUERIES, BLOCK_ROWS, _dense, _ranked, pair_scorer, pass_size, scan
 from quillvec.session import shared_dir, written
 
 SAMPLE = 65_536
 MAX_CELLS = 65_536
+FLAT_CELLS = 1024  # more cells are fitted in two levels
+BLOCK_CELLS = 1 << 22  # distances to centres that are held at once
 ASKED = 128  # rows whose exact neighbours calibrate the probed share
 DEPTH = 512  # neighbours of each
 
@@ -37,8 +39,16 @@ def _prepared(x: np.ndarray, metric: Metric) -> np.ndarray:
 
 
 def fit_centroids(x: np.ndarray, cells: int, params: AnnParams) -> np.ndarray:
-    """Centroids of sample rows by k-means; fewer than ``cells`` if there are fewer rows."""
+    """Centroids of sample rows by k-means; fewer than ``cells`` if there are fewer rows.
+
+    Many cells are fitted in two levels: groups of rows, then cells of each group in proportion.
+    """
     rng = np.random.default_rng(params.seed)
+    if cells > FLAT_CELLS and len(x) > cells:
+        coarse = fit_centroids(x, int(np.sqrt(cells)), params)
+        label = _nearest(x, coarse)
+        parts = [x[label == g] for g in range(len(coarse))]
+        return np.concatenate([fit_centroids(p, max(1, round(cells * len(p) / len(x))), params) for p in parts if len(p)])
     centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)].copy()
     for _ in range(params.iterations):
         label = _nearest(x, centres)
@@ -51,7 +61,11 @@ def fit_centroids(x: np.ndarray, cells: int, params: AnnParams) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres * centres).sum(axis=1)[None] - 2 * (x @ centres.T)).argmin(axis=1)
+    """The nearest centre of each row, in blocks of at most ``BLOCK_CELLS`` distances."""
+    half = (centres * centres).sum(axis=1)[None] / 2
+    step = max(1, BLOCK_CELLS // len(centres))
+    parts = [(half - x[at : at + step] @ centres.T).argmin(axis=1) for at in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 @dataclass(frozen=True)
@@ -65,6 +79,7 @@ class CellIndex:
     id: str
     vec: str
     total: int  # rows
+    counts: np.ndarray  # rows of each cell
     reach: np.ndarray  # per calibrating row and neighbour: share of the rows in cells nearer than the neighbour's
 
     def share(self, k: int, kept: int) -> float:
@@ -98,8 +113,8 @@ def build(
     total = rows.count()
     hashed = F.xxhash64(id).bitwiseAND(F.lit(2**31 - 1))
     limit = int(min(1.0, 1.3 * SAMPLE / max(1, total)) * (2**31 - 1))
-    sample = rows.where(hashed <= limit).orderBy(hashed, id).limit(SAMPLE).select(id, vec).collect()
-    x = _prepared(np.array([r[vec] for r in sample], np.float64), metric) if sample else np.zeros((0, 1))
+    sample = rows.where(hashed <= limit).orderBy(hashed, id).limit(SAMPLE).select(id, vec).toArrow()
+    x = _prepared(_dense(sample.column(vec)), metric) if sample.num_rows else np.zeros((0, 1))
     cells = min(MAX_CELLS, params.cells or max(1, int(np.sqrt(total))))
     centroids = fit_centroids(x, cells, params) if len(x) else np.zeros((1, 1))
     shared = spark.sparkContext.broadcast(centroids)
@@ -112,29 +127,36 @@ def build(
 
     place = path or f"{shared_dir(spark)}/quillvec/cells-{uuid.uuid4().hex}"
     assigned = rows.withColumn("cell", cell_of(F.col(vec)))
-    assigned.repartition("cell", F.pmod(F.xxhash64(id), F.lit(8))).write.partitionBy("cell").parquet(place)
+    # Balanced at run time: a cell with much of the rows is split, small cells share a task.
+    assigned.hint("rebalance", "cell").write.partitionBy("cell").parquet(place)
     schema = assigned.schema
     made = spark.read.schema(schema).parquet(place) if total else assigned
     calibrated = metric is not Metric.DOT and total > 1
-    reach = _reach(made, sample[:ASKED], x[:ASKED], centroids, metric, id, vec, total) if calibrated else np.ones((0, 0))
-    return CellIndex(centroids, made, metric, params, id, vec, total, reach)
+    counts = _counts(made, len(centroids))
+    own = sample.column(id).slice(0, ASKED).to_pylist()
+    reach = _reach(made, own, x[:ASKED], centroids, counts, metric, id, vec, total) if calibrated else np.ones((0, 0))
+    return CellIndex(centroids, made, metric, params, id, vec, total, counts, reach)
+
+
+def _counts(rows: DataFrame, cells: int) -> np.ndarray:
+    """The rows of each cell."""
+    counted = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= MAX_CELLS
+    return np.array([counted.get(c, 0) for c in range(cells)])
 
 
 def _reach(
-    rows: DataFrame, sample: list, asked: np.ndarray, centroids: np.ndarray, metric: Metric, id: str, vec: str, total: int
+    rows: DataFrame, own: list, asked: np.ndarray, centroids: np.ndarray, counts: np.ndarray, metric: Metric, id: str, vec: str, total: int
 ) -> np.ndarray:
     """Share of the rows in cells nearer than that of each exact neighbour of the ``asked`` rows, nearest first.
 
     One pass over ``rows``; a task returns at most ``DEPTH`` rows per asked row.
     """
     depth = min(DEPTH, total - 1)
-    counted = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= MAX_CELLS
-    counts = np.array([counted.get(c, 0) for c in range(len(centroids))])
     nearer = np.zeros((len(asked), len(centroids)))
     for i, a in enumerate(asked):
         order = np.argsort(((centroids - a) ** 2).sum(axis=1), kind="stable")
         nearer[i, order] = (np.cumsum(counts[order]) - counts[order]) / total
-    shared = rows.sparkSession.sparkContext.broadcast((asked, [r[id] for r in sample], nearer))
+    shared = rows.sparkSession.sparkContext.broadcast((asked, own, nearer))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked, own, nearer = shared.value
@@ -173,15 +195,38 @@ def search(
     """
     spark = index.rows.sparkSession
     rows = index.rows if allowed is None else index.rows.where(allowed)
-    counted = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= MAX_CELLS
-    counts = np.array([counted.get(c, 0) for c in range(len(index.centroids))])
+    id_kind, qid_kind = dict(rows.dtypes)[index.id], dict(queries.dtypes)["qid"]
+    if k <= 0 or not index.total:
+        return spark.createDataFrame([], f"qid {qid_kind}, rank_no int, {index.id} {id_kind}, score double")
+    # A filter is counted without reading vectors; without one the counts are those of the index.
+    counts = index.counts if allowed is None else _counts(rows, len(index.centroids))
     kept = int(counts.sum())
     # Cells are probed while those nearer hold fewer rows than wanted.
     wanted = max(index.params.factor * max(ef or index.params.ef, k), int(index.share(k, kept) * kept) + 1)
     everything = all_cells or index.metric is Metric.DOT
-    shared = spark.sparkContext.broadcast((index.centroids, counts))
     metric = index.metric
-    qid_kind = dict(queries.dtypes)["qid"]
+    size = pass_size(k)
+    first = queries.select("qid", F.col("qv").cast("array<double>").alias("qv")).limit(size + 1).toArrow()
+    if first.num_rows <= size:
+        asked = _prepared(_dense(first.column("qv")), metric) if first.num_rows else np.zeros((0, index.centroids.shape[1]))
+        radius, met = np.full(len(asked), np.inf), np.zeros(len(counts), bool)
+        if everything or not len(asked):
+            met[:] = True
+        else:
+            step = max(1, BLOCK_CELLS // len(counts))
+            for at in range(0, len(asked), step):
+                q = asked[at : at + step]
+                far = ((q * q).sum(axis=1)[:, None] + (index.centroids**2).sum(axis=1)[None] - 2 * (q @ index.centroids.T))
+                order = np.argsort(far, axis=1, kind="stable")
+                last = (np.cumsum(counts[order], axis=1) < wanted).sum(axis=1).clip(max=len(counts) - 1)
+                edge = np.take_along_axis(far, np.take_along_axis(order, last[:, None], 1), 1)
+                radius[at : at + step] = edge[:, 0] + 1e-9 * (1 + abs(edge[:, 0]))
+                met |= (far <= radius[at : at + step, None]).any(axis=0)
+        probed = np.flatnonzero(met & (counts > 0)).tolist()
+        if len(probed) < len(counts) // 2:
+            rows = rows.where(F.col("cell").isin(probed))
+        return _ranked(scan(rows, first, k, metric, index.id, index.vec, (asked, index.centroids, radius)), k, index.id)
+    shared = spark.sparkContext.broadcast((index.centroids, counts))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centroids, counts = shared.value
@@ -210,7 +255,6 @@ def search(
     hot = F.broadcast(spark.createDataFrame(blocks, "cell int, rb int, qb int"))  # <= MAX_CELLS rows
     rb, qb = F.coalesce("rb", F.lit(1)), F.coalesce("qb", F.lit(1))
     spread = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    id_kind = dict(rows.dtypes)[index.id]
     left = rows.where(F.col("cell").isin(list(asked)) if len(asked) < len(counts) // 2 else F.lit(True)).join(hot, "cell", "left").select(
         "cell", spread(index.id, rb).alias("r"), F.explode(F.sequence(F.lit(0), qb - 1)).alias("q"),
         F.col(index.id).alias("_id"), F.lit(None).cast(qid_kind).alias("_qid"), F.col(index.vec).cast("array<double>").alias("_v"),
@@ -219,12 +263,7 @@ def search(
         "cell", F.explode(F.sequence(F.lit(0), rb - 1)).alias("r"), spread("qid", qb).alias("q"),
         F.lit(None).cast(id_kind).alias("_id"), F.col("qid").alias("_qid"), F.col("qv").alias("_v"),
     )
-    if k <= 0:
-        return spark.createDataFrame([], f"qid {qid_kind}, rank_no int, {index.id} {id_kind}, score double")
     scored = left.unionByName(right).groupBy("cell", "r", "q").applyInArrow(
         pair_scorer(metric, index.id, k), f"qid {qid_kind}, {index.id} {id_kind}, score double"
     )
-    best = Window.partitionBy("qid").orderBy("score", index.id)
-    return scored.withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= k).select(
-        "qid", "rank_no", index.id, "score"
-    )
+    return _ranked(scored, k, index.id)

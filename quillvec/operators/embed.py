@@ -1,7 +1,8 @@
 """Embedding models for texts.
 
-The hashing model is an expression: it stays in the JVM.  Other models plug in through
-:class:`EmbeddingModel`, whose ``column`` is usually a vectorised Python function.
+Models plug in through :class:`EmbeddingModel`, whose ``column`` is usually a vectorised Python
+function.  The hashing model's sparse form, :func:`embed_sparse`, stays in the JVM; its dense column
+is an Arrow function that hashes each distinct token once per worker.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from quillvec.functions import text as T
 
 
+KNOWN_TOKENS = 1_000_000  # hashes that a worker keeps
+_PLAIN = str.maketrans(T.UPPER, T.LOWER) | {ord(c): " " for c in "\t\n\v\f\r"}
+
+
 class EmbeddingModel(ABC):
     """A text embedding: its dimension, and the embedding of a text column."""
 
@@ -47,9 +52,12 @@ class HashingModel(EmbeddingModel):
     def column(self, text: Column) -> Column:
         dim = self._dim
 
+        known: dict[str, tuple[int, int]] = {}  # a worker's own copy, kept between batches
+
         @F.pandas_udf("array<float>")
         def embed(texts: pd.Series) -> pd.Series:
-            known: dict[str, tuple[int, int]] = {}
+            if len(known) > KNOWN_TOKENS:
+                known.clear()
             return pd.Series([hashed(t, dim, known) for t in texts])
 
         return embed(text)
@@ -57,17 +65,15 @@ class HashingModel(EmbeddingModel):
 
 def hashed(text: str | None, dim: int, known: dict[str, tuple[int, int]]) -> np.ndarray:
     """The hashing model for one text; ``known`` caches (index, sign) of tokens."""
-    out = np.zeros(dim, np.float64)
-    table = str.maketrans(T.UPPER, T.LOWER)
-    for token in (text or "").translate(table).translate({ord(c): " " for c in "\t\n\v\f\r"}).split(" "):
-        if token not in known:
-            data = token.encode("utf-8", "surrogatepass")
-            h = T.FNV_BASIS
-            for b in data:
-                h = ((h ^ b) * T.FNV_PRIME) % (1 << 64)
-            known[token] = (h % dim, (1 if h >> 63 else -1) if len(data) >= 3 else 0)
-        index, sign = known[token]
-        out[index] += sign
+    tokens = (text or "").translate(_PLAIN).split(" ")
+    for token in set(tokens).difference(known):
+        data = token.encode("utf-8", "surrogatepass")
+        h = T.FNV_BASIS
+        for b in data:
+            h = ((h ^ b) * T.FNV_PRIME) % (1 << 64)
+        known[token] = (h % dim, (1 if h >> 63 else -1) if len(data) >= 3 else 0)
+    pairs = [known[t] for t in tokens]
+    out = np.bincount([i for i, _ in pairs], [s for _, s in pairs], dim)
     length = np.sqrt((out * out).sum())
     return (out / length if length else out).astype(np.float32)
 

@@ -1,10 +1,13 @@
 """Exact filtered k-nearest-neighbour search, for one query and for many.
 
-Results are ordered by ``(score, id)``, so ties have a defined order.  Two kernels give the same
-ranking:
+Results are ordered by ``(score, id)``, so ties have a defined order.  Three kernels give the same
+ranking, but for scores that differ by rounding only:
 
-* ``expr``: column expressions over the rows and a broadcast table of queries, for a proven small
-  number of queries; bit-equal to other engines that add in element order;
+* ``expr``: column expressions over the rows and a broadcast table of at most ``FEW_QUERIES`` queries;
+  bit-equal to other engines that add in element order;
+* ``scan``: a block of at most ``PASS_QUERIES`` queries is broadcast, every task scores its rows
+  against it by matrix products and returns its k best per query; the rows are not shuffled.  More
+  queries take more passes, up to ``PASSES``;
 * ``blocks``: rows and queries are dealt into blocks, and every pair of blocks is scored as one
   matrix product; each pair returns k candidates per query.  Neither side is broadcast or gathered,
   so both may grow.
@@ -12,18 +15,24 @@ ranking:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from quillvec.config import Metric
 from quillvec.functions import distance as D
 from quillvec.operators.oplog import valid_vector
 from quillvec.session import written
 
-MAX_BROADCAST_QUERIES = 10_000
+FEW_QUERIES = 32
+PASS_QUERIES, PASSES = 10_000, 20
+PASS_RESULTS = 5_000_000  # queries of a pass times k, at most
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 4_096
 
 
@@ -68,13 +77,23 @@ def knn(
     left out; differing sizes are an error.  Filter ``vectors`` beforehand: a filter on typed columns
     reaches the Parquet scan.
     """
-    if kernel == "auto":
-        few = queries.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES
-        kernel = "expr" if few else "blocks"
     rows = vectors.where(F.col(vec).isNotNull())
     if k <= 0:
         kind = f"qid {dict(queries.dtypes)['qid']}, rank_no int, {id} {dict(vectors.dtypes)[id]}, score double"
         return vectors.sparkSession.createDataFrame([], kind)
+    if kernel in ("auto", "scan"):
+        size = pass_size(k)
+        first = queries.select("qid", "qv").limit(size + 1).toArrow()
+        if first.num_rows <= size and (kernel == "scan" or first.num_rows > FEW_QUERIES):
+            return _ranked(scan(rows, first, k, Metric(metric), id, vec), k, id)
+        if first.num_rows > size:
+            passes = -(-queries.count() // size) + 1
+            if kernel == "scan" or passes <= PASSES:
+                dealt = written(queries.select("qid", "qv", F.pmod(F.xxhash64("qid"), F.lit(passes)).alias("_b")), "queries")
+                parts = [dealt.where(F.col("_b") == b).drop("_b").toArrow() for b in range(passes)]  # a pass at a time
+                scanned = [scan(rows, p, k, Metric(metric), id, vec) for p in parts]
+                return _ranked(reduce(DataFrame.unionByName, scanned), k, id)
+            kernel = "blocks"
     if kernel == "blocks":
         return _ranked(_blocks(rows, queries, k, Metric(metric), id, vec), k, id)
     asked = queries.select("qid", F.col("qv").alias("_q"))
@@ -92,8 +111,11 @@ def knn(
     return _ranked(pairs.select("qid", id, score.alias("score")), k, id)
 
 
-def _dense(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
+def _dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0)
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors differ in size")
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
@@ -119,6 +141,81 @@ def top_k(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return row[keep], col[keep]
 
 
+def pass_size(k: int) -> int:
+    """Queries that are broadcast at once."""
+    return max(1, min(PASS_QUERIES, PASS_RESULTS // max(1, k)))
+
+
+def scan(
+    rows: DataFrame, queries: pa.Table, k: int, metric: Metric, id: str, vec: str,
+    probes: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+) -> DataFrame:
+    """``(qid, id, score)``: of each task's rows, the k nearest to each of the bounded ``queries``.
+
+    With ``probes`` (prepared queries, centroids, radius of each query) the rows have a ``cell``, and
+    a query meets the cells whose centroid is within its radius.
+    """
+    spark = rows.sparkSession
+    qids = queries.column("qid").combine_chunks()
+    qv = _dense(queries.column("qv"))
+    shared = spark.sparkContext.broadcast((qv, probes))  # at most PASS_QUERIES vectors, and the centroids
+    id_kind, qid_type = dict(rows.dtypes)[id], qids.type
+
+    def best(out: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        q, score = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+        ids = pa.concat_arrays([o[2] for o in out])
+        place = np.empty(len(ids), np.int64)
+        place[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((place, score, q))
+        order = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < k]
+        return q[order], score[order], ids.take(pa.array(order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qv, probes = shared.value
+        kept: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        held = 0
+        for batch in batches:
+            if not batch.num_rows or not len(qv):
+                continue
+            ids, x = batch.column(0), _dense(batch.column(1))
+            if x.shape[1] != qv.shape[1]:
+                raise ValueError("vectors differ in size")
+            groups = [(np.arange(len(x)), None)]
+            if probes is not None:
+                asked, centroids, radius = probes
+                cells = batch.column(2).to_numpy()
+                order = np.argsort(cells, kind="stable")
+                starts = np.flatnonzero(np.concatenate(([True], np.diff(cells[order]) != 0)))
+                groups = []
+                for part in np.split(order, starts[1:]):
+                    far = ((asked - centroids[cells[part[0]]]) ** 2).sum(axis=1)
+                    groups.append((part, np.flatnonzero(far <= radius)))
+            for part, who in groups:
+                place = np.empty(len(part), np.int64)
+                own = ids if len(part) == len(ids) and who is None else ids.take(pa.array(part))
+                place[pa.compute.sort_indices(own).to_numpy()] = np.arange(len(part))
+                mine = x if len(part) == len(x) and who is None else x[part]
+                number = len(qv) if who is None else len(who)
+                for at in range(0, number, 256):
+                    those = np.arange(at, min(number, at + 256)) if who is None else who[at : at + 256]
+                    scores = D.matrix(metric, qv[those], mine)
+                    row, col = top_k(scores, place, k)
+                    kept.append((those[row], scores[row, col], own.take(pa.array(col))))
+                    held += len(row)
+            if held > 4 * max(100_000, len(qv) * k):
+                kept = [best(kept)]
+                held = len(kept[0][0])
+        if kept:
+            q, score, ids = best(kept)
+            for at in range(0, len(q), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q[part])), ids[part], pa.array(score[part])], ["qid", id, "score"])
+
+    columns = [F.col(id), F.col(vec), *([F.col("cell")] if probes is not None else [])]
+    kind = from_arrow_type(qid_type).simpleString()
+    return rows.select(*columns).mapInArrow(run, f"qid {kind}, {id} {id_kind}, score double")
+
+
 def pair_scorer(metric: Metric, id: str, k: int):
     """Function from a block of rows ``(_id, _v)`` and queries ``(_qid, _v)`` to each query's k best."""
 
@@ -164,12 +261,3 @@ def _blocks(rows: DataFrame, queries: DataFrame, k: int, metric: Metric, id: str
 
     scorer = pair_scorer(metric, id, k)
     return left.unionByName(right).groupBy("r", "q").applyInArrow(scorer, f"qid {qid_kind}, {id} {id_kind}, score double")
-
-
-def reranked(found: DataFrame, vectors: DataFrame, queries: DataFrame, metric: Metric | str, id: str = "ext_id", vec: str = "vec") -> DataFrame:
-    """Scores and ranks of ``found`` computed again by the ``expr`` kernel, for bit-equal values."""
-    pairs = written(found.select("qid", id), "found")
-    full = pairs.join(vectors.select(id, F.col(vec).alias("_v")), id).join(queries.select("qid", F.col("qv").alias("_q")), "qid")
-    scored = full.select("qid", id, D.distance(metric, F.col("_v"), F.col("_q")).alias("score"))
-    best = Window.partitionBy("qid").orderBy("score", id)
-    return scored.withColumn("rank_no", F.row_number().over(best)).select("qid", "rank_no", id, "score")

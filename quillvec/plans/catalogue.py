@@ -5,12 +5,14 @@ Scores are ranked unrounded, ties by id, and shown with six decimals.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillvec.config import AnnParams, ChunkConfig, Metric, RagConfig
+from quillvec.config import AnnParams, ChunkConfig, CollectionConfig, Metric, Persistence, RagConfig
+from quillvec.engine import Collection, RagEngine
 from quillvec.functions import codec, filters, jsonio, text as T
 from quillvec.functions.filters import all_of, any_of, eq, from_json, ge, gt, is_in, le, lt, ne, negate
 from quillvec.operators import ann, embed, evaluation, oplog, rag, search
@@ -134,7 +136,7 @@ def ann_search(spark: SparkSession, d: str) -> DataFrame:
     return _shown(ann.search(index, _asked(rows), K))
 
 
-@query("ann_filtered")
+@query("ann_filtered", knn_sql("l2", where="label = 3"))  # so few rows pass that all of them are compared
 def ann_filtered(spark: SparkSession, d: str) -> DataFrame:
     rows = _embeddings(spark, d)
     index = ann.build(rows, Metric.L2, AnnParams(ef=200), id="vec_id", vec="embedding")
@@ -156,14 +158,6 @@ def ann_cells(spark: SparkSession, d: str) -> DataFrame:
     return ann.build(_embeddings(spark, d), Metric.L2, id="vec_id", vec="embedding").stats()
 
 
-@query("stats", "SELECT 64 AS dim, 'l2' AS metric, 'flat' AS index, count(*) AS size FROM embeddings WHERE len(embedding) = 64")
-def stats(spark: SparkSession, d: str) -> DataFrame:
-    good = _embeddings(spark, d).where(F.size("embedding") == 64)
-    return good.agg(F.count(F.lit(1)).alias("size")).select(
-        F.lit(64).alias("dim"), F.lit("l2").alias("metric"), F.lit("flat").alias("index"), "size"
-    )
-
-
 # -- metadata ---------------------------------------------------------------------------------------
 
 
@@ -454,6 +448,86 @@ def store_reads(spark: SparkSession, d: str) -> DataFrame:
     return size.crossJoin(slots).withColumn("dim", F.lit(DIM))  # one row each
 
 
+def _collection(spark: SparkSession, d: str, path: str | None = None, **options) -> Collection:
+    return Collection(spark, CollectionConfig(DIM, persistence=Persistence(path) if path else None), **options)
+
+
+def _accepted_ops(spark: SparkSession, d: str) -> DataFrame:
+    """The operations that pass validation, repeated rows once."""
+    ops = oplog.accepted(table(spark, d, "op_log"), DIM).dropDuplicates(["ext_id", "lsn"])
+    return ops.select("lsn", F.col("op").cast("int").alias("op"), "ext_id", "vec", F.col("meta").cast(oplog.META).alias("meta"))
+
+
+@query(
+    "stats",
+    FOLD_SQL + """
+k AS (SELECT count(DISTINCT ext_id) AS slots FROM o WHERE op = 1)
+SELECT 48 AS dim, 'cosine' AS metric, 'flat' AS index, (SELECT count(*) FROM live) AS size, k.slots AS slots FROM k
+""",
+)
+def stats(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of a collection that has been given the whole log."""
+    c = _collection(spark, d)
+    c.apply_ops(_accepted_ops(spark, d))
+    return c.stats()
+
+
+@query("collection_effects", _OPS + _EFFECTS.replace("SELECT lsn, op, ext_id, effective FROM e", "SELECT ext_id, op, effective, count(*) AS n FROM e GROUP BY ALL"))
+def collection_effects(spark: SparkSession, d: str) -> DataFrame:
+    """What applying the log to a collection says of each operation, counted."""
+    told = _collection(spark, d).apply_ops(_accepted_ops(spark, d))
+    return told.groupBy("ext_id", "op", "effective").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("recover_snapshot_tail", _STATE_SQL)
+def recover_snapshot_tail(spark: SparkSession, d: str) -> DataFrame:
+    """A durable collection: half of the log, a snapshot, the other half, and opened again."""
+    path = f"{shared_dir(spark)}/quillvec/collection-{uuid.uuid4().hex}"
+    ops = written(_accepted_ops(spark, d), "ops")
+    middle = ops.agg(F.expr("percentile_approx(lsn, 0.5)")).first()[0] or 0
+    c = _collection(spark, d, path)
+    c.apply_ops(ops.where(F.col("lsn") <= middle))
+    c.snapshot()
+    c.apply_ops(ops.where(F.col("lsn") > middle))
+    c.close()
+    return _state_shown(_collection(spark, d, path).state())
+
+
+@query(
+    "collection_search",
+    FOLD_SQL + f"""
+q0 AS (SELECT qid, min(qv) AS qv FROM queries WHERE qid % 50 = 0 AND coalesce(len(qv) = 48 AND list_bool_and(list_transform(qv, lambda x: x IS NOT NULL AND isfinite(x))), false) GROUP BY qid),
+q AS (SELECT qid, qv, {_NORM.format('qv')} AS nq FROM (SELECT qid, list_transform(qv, lambda x: CAST(x AS DOUBLE)) AS qv FROM q0)),
+r AS (SELECT ext_id, v, {_NORM.format('v')} AS nv FROM (SELECT ext_id, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v FROM live
+      WHERE {_YEAR.format(">= 1880")} AND NOT {_YEAR.format(">= 1900")})),
+s AS (SELECT qid, ext_id, {_SCORE_SQL['cosine']} AS score FROM r CROSS JOIN q),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, ext_id) AS rank_no FROM s)
+SELECT qid, CAST(rank_no AS INTEGER) AS rank_no, ext_id, round(score, 6) AS score FROM t WHERE rank_no <= 10
+""",
+)
+def collection_search(spark: SparkSession, d: str) -> DataFrame:
+    """Batch search of a durable collection with a snapshot, by a filter on promoted metadata."""
+    path = f"{shared_dir(spark)}/quillvec/collection-{uuid.uuid4().hex}"
+    c = _collection(spark, d, path, promoted={"year": "year"})
+    c.apply_ops(_accepted_ops(spark, d))
+    c.snapshot()
+    asked = search.clean_queries(table(spark, d, "queries").where(F.col("qid") % 50 == 0), DIM)
+    return _shown(c.search_batch(asked, K, all_of(ge("year", 1880), negate(ge("year", 1900)))))
+
+
+@query("rag_lifecycle", f"SELECT doc_id, chunk_no, text FROM ({chunk_sql(64, 16, _LATEST)}) WHERE doc_id <> (SELECT min(source) FROM documents)")
+def rag_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """An engine that is given the first page of each source, then the last in its place, and loses one source."""
+    docs = table(spark, d, "documents").select("source", F.col("doc_id").alias("version"), "text")
+    e = RagEngine(spark)
+    e.ingest_all(rag.latest(docs.withColumn("version", -F.col("version")), "version", "source"))
+    e.ingest_all(rag.latest(docs, "version", "source"))
+    least = docs.agg(F.min("source")).first()[0]
+    if least is not None:
+        e.remove(least)
+    return e.chunks().select("doc_id", "chunk_no", "text")
+
+
 @query(
     "resolve_hits",
     _OPS + _SLOTS + """
@@ -504,7 +578,15 @@ def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("lsn", same.alias("same"))
 
 
-@query("crc")
+_CRC = (
+    "xor(4294967295, list_reduce(list_transform(range(1, octet_length(encode(p)) + 1), lambda i: "
+    "CAST('0x' || substr(hex(encode(p)), 2 * i - 1, 2) AS BIGINT)), lambda c, b: "
+    "list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END, xor(c, b)), "
+    "CAST(4294967295 AS BIGINT)))"
+)
+
+
+@query("crc", f"SELECT event_id, {_CRC} AS crc FROM (SELECT event_id, coalesce(props, '') AS p FROM events)")
 def crc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.crc32(F.coalesce("props", F.lit(""))).alias("crc"))
 
@@ -512,8 +594,6 @@ def crc(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_fold", _STATE_SQL)
 def stream_fold(spark: SparkSession, d: str) -> DataFrame:
     """The fold as a streaming aggregation over the log, in a few micro-batches."""
-    import uuid
-
     from quillvec.streaming import fold
 
     place = f"{shared_dir(spark)}/quillvec/stream-{uuid.uuid4().hex}"

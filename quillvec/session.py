@@ -27,15 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return kept
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders per value of ``by`` if given, and read it back.
 
     The written table cuts the lineage, survives the loss of executors, is computed once however
     often it is read, and keeps column pruning.  It is deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillvec/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    out = df.write.mode("errorifexists").option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)

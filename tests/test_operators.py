@@ -88,7 +88,7 @@ def points(spark, x):
 
 
 @pytest.mark.parametrize("metric", list(Metric))
-@pytest.mark.parametrize("kernel", ["expr", "blocks"])
+@pytest.mark.parametrize("kernel", ["expr", "scan", "blocks"])
 def test_search_equals_brute_force(spark, metric, kernel):
     x, q = evaluation.uniform_vectors(300, 8, 1), evaluation.uniform_vectors(7, 8, 2)
     rows = points(spark, x).withColumn("score", F.lit("clash"))
@@ -105,7 +105,7 @@ def test_search_equals_brute_force(spark, metric, kernel):
         assert np.allclose([m[2] for m in mine], d[i][best])
 
 
-@pytest.mark.parametrize("kernel", ["expr", "blocks"])
+@pytest.mark.parametrize("kernel", ["expr", "scan", "blocks"])
 def test_search_edges(spark, kernel):
     rows = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", None), ("d", [5.0, 0.0])], "ext_id string, vec array<float>")
     asked = spark.createDataFrame([(1, [0.0, 0.0])], "qid int, qv array<float>")
