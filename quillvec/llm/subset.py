@@ -3,9 +3,11 @@
 From the live vectors: mini-batch k-means, quotas that grow with the square root of a cluster's
 size, and a sample within each quota.  The records are dealt into ``BATCHES`` mini-batches by a
 hash of their id.  Each batch moves the centres by a step that shrinks with the records a centre
-has seen, so that every record takes part once.  Centres that point the same way are pieces of one large group and
-are joined; then all records are assigned and counted.  Slots that a cluster cannot fill go to the
-others.
+has seen, so that every record takes part once.  The number of centres grows with the square root of
+the records; they start from the groups of a sample.  Where k-means cuts a large group into several
+clusters, these overlap and are joined, nearest first, on their measured counts, means and spreads.  A joined cluster is
+measured as a whole, so a chain of groups that lie apart does not become one.  Then all records are
+assigned and counted.  Slots that a cluster cannot fill go to the others.
 
 From a query's retrieved rows: the clusters are the documents, with equal quotas.  Every document
 gets one slot in turn, best rank first, until the slots are used, so the slots of short documents
@@ -15,6 +17,7 @@ is left.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillvec.llm.clusters import _added, _distinct, _moments, divided, unit
 from quillvec.llm.neardup import normalised
 from quillvec.llm.vectors import DIM, live_units, matrix
 from quillvec.session import written
 
-CLUSTERS = 64
-JOIN = 0.6
+CLUSTERS, MOST_CLUSTERS = 64, 1024  # centres: half the square root of the records, within these
+# Two clusters are one group if the distance of their means is at most this many times the sum of their standard
+# deviations in its direction (the halves of a normal group have 1.3), or of their whole spreads (small pieces of one
+# group in many dimensions are far from each other in every single direction, but not for their spread).
+OVERLAP, WHOLE_OVERLAP = 1.6, 0.35
+DRAWN = 1.3  # or this many times as far as the mean of so many records drawn from the other group is from its mean
 BATCHES = 8
-START_ROWS = 4096  # rows of the first batch that the starting centres are chosen from, at most
+COVERED = 1.7  # times the mean square distance within a group
+CLUMPED = 0.15  # least share of that distance at which the nearest other member of a group without clumps is
+START_ROWS = 8192  # rows that the starting centres are chosen from, at most
 
 
 def quotas(sizes: dict[int, int], slots: int) -> dict[int, int]:
@@ -58,11 +68,31 @@ def quotas(sizes: dict[int, int], slots: int) -> dict[int, int]:
 
 
 def _start(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Starting centres far from each other (k-means++)."""
-    centres = [rows[rng.integers(len(rows))]]
-    far = ((rows - centres[0]) ** 2).sum(axis=1)
-    while len(centres) < k and far.max() > 0:
-        centres.append(rows[rng.choice(len(rows), p=far / far.sum())])
+    """Starting centres: the means of the groups among ``rows``, then records far from all (k-means++).
+
+    The groups are the compact leaves of bisecting k-means, so that a large group isn't cut into many.
+    """
+    centres = [(s / n).astype(np.float32) for n, s in sorted(divided(rows, len(rows)), key=lambda g: -g[0])]
+    centres = [centres[i] for i in _distinct([unit(c) for c in centres])]
+    far = np.full(len(rows), np.inf, np.float32)
+    for c in centres:
+        # Unit vectors: a group's mean square distance from its mean c is 1 - |c|^2.  What lies so near needs no
+        # other centre, unless the group is made of clumps: its members' nearest others are far nearer than that.
+        away = ((rows - c) ** 2).sum(axis=1)
+        spread = 1 - float(c @ c)
+        within = np.flatnonzero(away <= COVERED * spread + 1e-6)
+        some = rows[rng.permutation(within)[:512]]
+        if len(some) > 2:
+            cosine = some @ some.T
+            np.fill_diagonal(cosine, -1)
+            if np.median(1 - cosine.max(axis=1)) >= CLUMPED * spread or spread < 0.05:
+                away[within] = 0
+        far = np.minimum(far, away)
+    if not centres:
+        centres = [rows[rng.integers(len(rows))]]
+        far = ((rows - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < k and far.max() > 1e-9:
+        centres.append(rows[rng.choice(len(rows), p=far / far.sum(dtype=np.float64))])
         far = np.minimum(far, ((rows - centres[-1]) ** 2).sum(axis=1))
     return np.array(centres, np.float32)
 
@@ -70,7 +100,7 @@ def _start(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 def fit_centres(batches: DataFrame, dim: int, k: int = CLUSTERS, seed: int = 2) -> np.ndarray:
     """Centres of ``(batch, v)`` by mini-batch k-means, one batch per pass."""
     rng = np.random.default_rng(seed)
-    first = batches.where("batch = 0").orderBy("h").limit(START_ROWS).select("v").toArrow()
+    first = batches.where("batch >= 0").orderBy("h").limit(START_ROWS).select("v").toArrow()
     parts = [matrix(b.column(0), dim) for b in first.combine_chunks().to_batches()]
     rows = np.concatenate(parts) if parts else np.zeros((0, dim), np.float32)
     if len(rows) == 0:
@@ -109,17 +139,55 @@ def fit_centres(batches: DataFrame, dim: int, k: int = CLUSTERS, seed: int = 2)
     return centres
 
 
-def joined(centres: np.ndarray) -> np.ndarray:
-    """The group of each centre: centres with a cosine of ``JOIN`` or more are parts of one group."""
-    length = np.linalg.norm(centres, axis=1, keepdims=True)
-    unit = np.divide(centres, length, out=np.zeros_like(centres), where=length > 0)
-    near = unit @ unit.T >= JOIN
-    group = np.arange(len(centres))
-    while True:
-        least = np.array([min(group[c], *group[near[c]]) if near[c].any() else group[c] for c in range(len(centres))])
-        if (least == group).all():
-            return group
-        group = least
+def centres_for(records: int) -> int:
+    """The number of centres for so many records."""
+    return int(min(MOST_CLUSTERS, max(CLUSTERS, np.sqrt(records) / 2)))
+
+
+def joined(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], number: int) -> np.ndarray:
+    """The group of each of ``number`` clusters, from their ``(count, sum, second moments)``.
+
+    The two groups with the least distance in terms of their spread are joined, until none is within
+    :data:`OVERLAP`, :data:`WHOLE_OVERLAP` or :data:`DRAWN`.  Clusters without records keep to themselves.
+    """
+    group = np.arange(number)
+    own = {k: m for k, m in moments.items() if m[0] > 0}
+    mean = {k: s / n for k, (n, s, _) in own.items()}
+    cov = {k: q / n - np.outer(s / n, s / n) for k, (n, s, q) in own.items()}
+
+    def apart(a: int, others: list[int]) -> np.ndarray:
+        d = np.array([mean[o] for o in others]) - mean[a]
+        far = np.linalg.norm(d, axis=1)
+        u = d / np.maximum(far, 1e-12)[:, None]
+        one = np.sqrt(np.maximum(np.einsum("nd,de,ne->n", u, cov[a], u), 0))
+        two = np.sqrt(np.maximum(np.einsum("nd,nde,ne->n", u, np.array([cov[o] for o in others]), u), 0))
+        mine = np.sqrt(max(np.trace(cov[a]), 0))
+        theirs = np.sqrt(np.maximum([np.trace(cov[o]) for o in others], 0))
+        drawn = np.maximum(mine / np.sqrt([own[o][0] for o in others]), theirs / np.sqrt(own[a][0]))
+        reach = np.maximum(np.maximum(OVERLAP * (one + two), WHOLE_OVERLAP * (mine + theirs)), DRAWN * drawn)
+        return np.where(far < 1e-9, 0.0, far / np.maximum(reach, 1e-12))  # up to 1 they are joined
+
+    heap = []
+    keys = sorted(own)
+    for i, a in enumerate(keys[:-1]):
+        heap += [(float(r), a, b, 0, 0) for b, r in zip(keys[i + 1 :], apart(a, keys[i + 1 :])) if r <= 1]
+    heapq.heapify(heap)
+    version = dict.fromkeys(keys, 0)
+    while heap:
+        _, a, b, va, vb = heapq.heappop(heap)
+        if version.get(a) != va or version.get(b) != vb:
+            continue
+        n, s, q = (x + y for x, y in zip(own[a], own.pop(b)))
+        own[a], mean[a], cov[a] = (n, s, q), s / n, q / n - np.outer(s / n, s / n)
+        version[a] += 1
+        del version[b]
+        group[group == b] = a
+        others = [o for o in own if o != a]
+        for o, r in zip(others, apart(a, others) if others else []):
+            if r <= 1:
+                x, y = min(a, o), max(a, o)
+                heapq.heappush(heap, (float(r), x, y, version[x], version[y]))
+    return group
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -140,12 +208,26 @@ def from_vectors(op_log: DataFrame, sizes: list[tuple[int, int]], dim: int = DIM
     units = live_units(op_log, dim)
     zero = F.lit(bytes(4 * dim))
     h = F.xxhash64("ext_id", F.lit(17))
-    dealt = written(
+    dealt = written(  # in folders per batch, so that a pass reads its batch only
         units.select("ext_id", "v", h.alias("h"), F.when(F.col("v") == zero, -1).otherwise(F.pmod(h, F.lit(BATCHES))).cast("int").alias("batch")),
-        "dealt",
+        "dealt", "batch",
     )
-    centres = fit_centres(dealt, dim)
-    group = joined(centres)
+    records = units.count()
+    centres = fit_centres(dealt, dim, centres_for(records))
+
+    def measure(batch):
+        x = matrix(batch.column(0), dim)
+        label = nearest(x, centres)
+        for c in np.unique(label).tolist():
+            yield c, _moments(x[label == c], dim, True)
+
+    upper = np.triu_indices(dim)
+    moments = {}
+    for c, m in _added(dealt.where("batch >= 0").select("v"), measure).items():
+        square = np.zeros((dim, dim))
+        square[upper] = m[dim + 1 :]
+        moments[c] = (m[0], m[1 : dim + 1], square + np.triu(square, 1).T)
+    group = joined(moments, len(centres))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -154,7 +236,7 @@ def from_vectors(op_log: DataFrame, sizes: list[tuple[int, int]], dim: int = DIM
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(label, pa.int32())], ["ext_id", "h", "cluster"])
 
     placed = written(dealt.select("ext_id", "v", "h").mapInArrow(run, "ext_id string, h bigint, cluster int"), "placed")
-    counts = {r["cluster"]: r["count"] for r in placed.groupBy("cluster").count().collect()}  # at most CLUSTERS + 1
+    counts = {r["cluster"]: r["count"] for r in placed.groupBy("cluster").count().collect()}  # at most MOST_CLUSTERS + 1
     rows = [(int(r), c, q, counts[c]) for r, n in wanted for c, q in quotas(counts, n).items() if q]
     quota = spark.createDataFrame(rows, "request_id int, cluster int, quota int, cluster_size bigint")
     most = max((q for _, _, q, _ in rows), default=0)

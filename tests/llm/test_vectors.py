@@ -224,3 +224,27 @@ def test_chance_falls_with_closeness_and_rises_with_the_records():
     assert clusters.chance(1000, 3, 1.0, 48) == -np.inf and clusters.chance(1000, 1, 1.0, 48) == np.inf
     n = clusters.needed(1000, 48, 20)
     assert all(a >= b for a, b in zip(n[3:], n[4:]))
+
+
+def _moments_of(parts):
+    return {k: (float(len(p)), p.sum(axis=0).astype(float), (p.T @ p).astype(float)) for k, p in enumerate(parts)}
+
+
+def test_pieces_of_a_group_are_joined_and_groups_that_share_a_direction_are_not():
+    rng = np.random.default_rng(4)
+    blob = rng.normal(size=(4000, 48)) * 0.1 + rng.normal(size=48)
+    cut = [blob[blob[:, 0] > np.median(blob[:, 0])], blob[blob[:, 0] <= np.median(blob[:, 0])]]
+    shared = rng.normal(size=48) * 2
+    apart = [rng.normal(size=(50, 48)) * 0.1 + shared + rng.normal(size=48) for _ in range(62)]
+    group = subset.joined(_moments_of(cut + apart), 65)
+    assert group[0] == group[1] and len(set(group.tolist())) == 64
+
+
+def test_subset_covers_distinct_groups_of_one_direction(spark):
+    rng = np.random.default_rng(6)
+    base = np.ones(DIM)
+    centres = [base + 0.9 * np.sqrt(DIM) * v / np.linalg.norm(v) for v in rng.normal(size=(30, DIM))]
+    rows = [(f"c{c}-{i}", (centres[c] + rng.normal(size=DIM) * 0.1).tolist()) for c in range(30) for i in range(900 if c == 0 else 20)]
+    log = op_log(spark, rows)
+    got = [r.ext_id.split("-")[0] for r in subset.from_vectors(log, [(1, 60)], DIM).collect()]
+    assert len(got) == 60 and len(set(got)) == 30 and got.count("c0") <= 15
