@@ -88,17 +88,18 @@ def effects(ops: DataFrame, dim: int | None = None) -> DataFrame:
     rows = accepted(ops, dim).select("lsn", "op", "ext_id").dropDuplicates(["ext_id", "lsn"])
     ranges = written(rows.repartitionByRange("ext_id", "lsn").withColumn("_part", F.spark_partition_id()), "ranges")
     reset = F.when(F.col("op") != UPDATE, F.col("op"))
-    # Of every range, its last key, and that key's last Insert or Delete in it.
-    last = ranges.groupBy("_part").agg(F.max("ext_id").alias("_last"))
-    ends = (
-        ranges.join(F.broadcast(last), "_part").where(F.col("ext_id") == F.col("_last"))
-        .groupBy("_part", "ext_id").agg(F.max_by(reset, F.when(reset.isNotNull(), F.col("lsn"))).alias("_end"))
-    )  # a row per range
-    firsts = ranges.groupBy("_part").agg(F.min("ext_id").alias("ext_id")).alias("f")
+    # Of every range: its first and last key, and its last Insert or Delete, which counts if it is of the last key.
+    bounds = ranges.groupBy("_part").agg(
+        F.min("ext_id").alias("_first"), F.max("ext_id").alias("_last"),
+        F.max_by(F.struct("ext_id", "op"), F.when(reset.isNotNull(), F.struct("ext_id", "lsn"))).alias("_r"),
+    )
+    bounds = written(bounds, "bounds")  # a row per range
+    ends = bounds.where(F.col("_r.ext_id") == F.col("_last")).select(
+        F.col("_part").alias("_p"), F.col("_last").alias("_key"), F.col("_r.op").alias("_end")
+    )
     carried = (
-        firsts.join(ends.alias("e"), (F.col("f.ext_id") == F.col("e.ext_id")) & (F.col("e._part") < F.col("f._part")), "left")
-        .groupBy(F.col("f._part").alias("_part"), F.col("f.ext_id").alias("_first"))
-        .agg(F.max_by("_end", F.when(F.col("_end").isNotNull(), F.col("e._part"))).alias("_carried"))
+        bounds.join(F.broadcast(ends), (F.col("_first") == F.col("_key")) & (F.col("_p") < F.col("_part")), "left")
+        .groupBy("_part", "_first").agg(F.max_by("_end", "_p").alias("_carried"))
     )
     before = Window.partitionBy("_part", "ext_id").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
     within = F.last(reset, ignorenulls=True).over(before)
