@@ -120,24 +120,7 @@ w AS (SELECT ext_id, {_UNIT.format('vec')} AS v FROM live),
 u AS (SELECT ext_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM w WHERE list_dot_product(v, v) > 0),
 """
 
-SQL: dict[str, str] = {
-    # A mean shift from every anchor: first wide, then within the reach until it stands still.
-    "p3_found": _LIVE_UNITS + f"""
-g AS (SELECT anchor_id, {_UNIT.format('vec')} AS v FROM anchors WHERE anchor_id IS NOT NULL
-      AND coalesce(len(vec) = {DIM} AND list_bool_and(list_transform(vec, lambda x: x IS NOT NULL AND isfinite(x))), false)),
-m0 AS (SELECT anchor_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS au, au AS m FROM g WHERE list_dot_product(v, v) > 0),
-{", ".join(_shift_sql(f"m{i + 1}", f"m{i}", 0.5 if i == 0 else clusters.REACH) for i in range(6))}
-SELECT DISTINCT anchor_id, ext_id FROM m6 JOIN u ON list_dot_product(m, u) >= {clusters.REACH}
-WHERE n >= 10 AND list_dot_product(m, au) >= {clusters.REACH}
-""",
-    "p5_found": _LIVE_UNITS + """
-p AS (SELECT a.ext_id AS x, b.ext_id AS y, list_dot_product(a.u, b.u) AS c FROM u a JOIN u b ON a.ext_id <> b.ext_id
-      AND list_dot_product(a.u, b.u) >= 0.96 - 1e-6),
-r AS (SELECT x, y FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(c, 6) DESC, y) AS n FROM p) WHERE n <= 10)
-SELECT r.x AS ext_a, r.y AS ext_b FROM r JOIN r s ON r.x = s.y AND r.y = s.x WHERE r.x < r.y
-""",
-    "p4_found": """
-WITH t AS (
+_NEAR = """t AS (
   SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS key, text FROM documents UNION ALL
   SELECT 'chunk', doc_id || '#' || chunk_no, min(text) FROM chunks GROUP BY ALL),
 n AS (SELECT kind, key, trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -155,8 +138,37 @@ c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.kind = b.kind
 v AS (SELECT c.a, c.b, count(*) AS shared FROM c JOIN s x ON x.id = c.a JOIN s y ON y.id = c.b AND x.h = y.h GROUP BY c.a, c.b),
 l AS (SELECT v.a, v.b FROM v JOIN z x ON x.id = v.a JOIN z y ON y.id = v.b WHERE 3 * shared >= x.z + y.z
       UNION ALL SELECT DISTINCT id, id FROM d)
-SELECT DISTINCT x.kind, least(x.key, y.key) AS key_a, greatest(x.key, y.key) AS key_b
+"""
+_PAIRS = """SELECT DISTINCT x.kind, least(x.key, y.key) AS key_a, greatest(x.key, y.key) AS key_b
 FROM l JOIN d x ON x.id = l.a JOIN d y ON y.id = l.b WHERE x.key <> y.key
+"""
+
+SQL: dict[str, str] = {
+    # A mean shift from every anchor: first wide, then within the reach until it stands still.
+    "p3_found": _LIVE_UNITS + f"""
+g AS (SELECT anchor_id, {_UNIT.format('vec')} AS v FROM anchors WHERE anchor_id IS NOT NULL
+      AND coalesce(len(vec) = {DIM} AND list_bool_and(list_transform(vec, lambda x: x IS NOT NULL AND isfinite(x))), false)),
+m0 AS (SELECT anchor_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS au, au AS m FROM g WHERE list_dot_product(v, v) > 0),
+{", ".join(_shift_sql(f"m{i + 1}", f"m{i}", 0.5 if i == 0 else clusters.REACH) for i in range(6))}
+SELECT DISTINCT anchor_id, ext_id FROM m6 JOIN u ON list_dot_product(m, u) >= {clusters.REACH}
+WHERE n >= 10 AND list_dot_product(m, au) >= {clusters.REACH}
+""",
+    "p5_found": _LIVE_UNITS + """
+p AS (SELECT a.ext_id AS x, b.ext_id AS y, list_dot_product(a.u, b.u) AS c FROM u a JOIN u b ON a.ext_id <> b.ext_id
+      AND list_dot_product(a.u, b.u) >= 0.96 - 1e-6),
+r AS (SELECT x, y FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(c, 6) DESC, y) AS n FROM p) WHERE n <= 10)
+SELECT r.x AS ext_a, r.y AS ext_b FROM r JOIN r s ON r.x = s.y AND r.y = s.x WHERE r.x < r.y
+""",
+    "p4_found": f"WITH {_NEAR}{_PAIRS}",
+    "p4_groups": f"""
+WITH RECURSIVE {_NEAR},
+pairs AS ({_PAIRS}),
+e AS (SELECT kind, key_a AS x, key_b AS y FROM pairs UNION ALL SELECT kind, key_b, key_a FROM pairs),
+r AS (SELECT kind, x, y FROM e UNION SELECT r.kind, r.x, e.y FROM r JOIN e ON r.kind = e.kind AND r.y = e.x),
+g AS (SELECT kind, x AS key, min(y) AS group_key, count(*) AS group_size FROM r GROUP BY kind, x),
+n2 AS (SELECT kind, x AS key, count(*) AS links FROM e GROUP BY kind, x)
+SELECT d.kind, d.key, coalesce(g.group_key, d.key) AS group_key, coalesce(g.group_size, 1) AS group_size, coalesce(n2.links, 0) AS links
+FROM d LEFT JOIN g ON d.kind = g.kind AND d.key = g.key LEFT JOIN n2 ON d.kind = n2.kind AND d.key = n2.key
 """,
     "p1_found": r"""
 WITH lines AS (
