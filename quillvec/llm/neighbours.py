@@ -15,6 +15,8 @@ Scores by tables are sums of table entries over a candidate's codes; as the prod
 codewords is the same number and much faster for blocks of queries, blocks are scored that way.
 
 Every record is in one list and is looked for in all of its lists: nothing is dropped or sampled.
+The lists are searched in several passes if the visits are many, so that the rows under way at one time,
+and the disk they take, follow the records and not the visits.
 A list with many records is cut into blocks, and every query of the list meets all its blocks.
 Records with equal vectors are indexed once, and put back in full after the search.
 """
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillvec.llm.vectors import DIM, live_units, matrix
-from quillvec.session import small, written
+from quillvec.session import shuffles_dropped, small, written
 
 SAMPLE = 32_768  # rows that the codebooks are fitted on, at most
 LIST_RECORDS = 512  # records a list is to hold on average
@@ -45,6 +48,7 @@ BLOCK_RECORDS, BLOCK_QUERIES = 16_384, 32_768
 # Settings for neighbours at any distance: in many dimensions those lie in many lists.
 THOROUGH = {"lists": 64, "probes": 16, "books": 8, "fine": 256}
 SLACK = 4.0  # standard deviations of the codes' error allowed for near neighbours
+PASS_VISITS, LEAST_VISITS = 4, 1 << 20  # visits of a pass: so many per record, or in all if that is more
 MAX_LISTS = 65_536  # beyond this many, lists grow and are searched in blocks
 RERANK = 20  # candidates of a list compared exactly, as a multiple of k
 
@@ -212,6 +216,11 @@ def probes_among(lists: int, probes: int = PROBES) -> int:
     return max(probes, int(np.ceil(probes * (lists / PROBES_OF) ** (1 / 3) - 1e-9)))
 
 
+def passes_for(visits: int, records: int) -> int:
+    """Passes over the lists, each with a part of the visits."""
+    return max(1, -(-visits // max(PASS_VISITS * records, LEAST_VISITS)))
+
+
 def _search(
     vectors: DataFrame, queries: Column | None, k: int, least: float, lists: int | None, probes: int,
     number: int, fine: int, dim: int,
@@ -267,18 +276,26 @@ def _search(
     one = F.lit(1)
     rb, qb = F.coalesce("rb", one), F.coalesce("qb", one)
     whole = F.col("rb").isNull()  # in a list of one block a record asks where it is
-    records = (
-        indexed.select("ext_id", "q8", "codes", "norm", "asks", F.col("home").alias("list"), F.array_contains("near", F.col("home")).alias("_own"))
-        .join(blocks, "list", "left")
-        .select("list", (spread % rb).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), qb - 1)).alias("q"),
-                (F.col("asks") & whole & F.col("_own")).alias("asks"), "ext_id", "q8", "codes", "norm")
-    )
-    asked = (
-        visits.join(blocks, "list", "left").where(~whole | (F.col("list") != F.col("home")))
-        .select("list", F.explode(F.sequence(F.lit(0), rb - 1)).alias("r"), (spread % qb).cast("int").alias("q"),
-                F.lit(True).alias("asks"), "ext_id", "q8",
-                F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
-    )
+    asking = total if queries is None else indexed.where("asks").count()
+    passes = passes_for(asking * min(probes, len(books.books[0]) * len(books.books[1])), total)
+
+    def under_way(turn: int) -> DataFrame:
+        """Records and queries of the lists of one pass."""
+        ours = F.pmod(F.hash("list"), F.lit(passes)) == turn
+        records = (
+            indexed.select("ext_id", "q8", "codes", "norm", "asks", F.col("home").alias("list"), F.array_contains("near", F.col("home")).alias("_own"))
+            .where(ours).join(blocks, "list", "left")
+            .select("list", (spread % rb).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), qb - 1)).alias("q"),
+                    (F.col("asks") & whole & F.col("_own")).alias("asks"), "ext_id", "q8", "codes", "norm")
+        )
+        asked = (
+            visits.where(ours).join(blocks, "list", "left").where(~whole | (F.col("list") != F.col("home")))
+            .select("list", F.explode(F.sequence(F.lit(0), rb - 1)).alias("r"), (spread % qb).cast("int").alias("q"),
+                    F.lit(True).alias("asks"), "ext_id", "q8",
+                    F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
+        )
+        return records.unionByName(asked)
+
     near_only = least > -1
 
     def search(part):
@@ -304,10 +321,13 @@ def _search(
         made = pa.table({"ext_id": ids.take(pa.array(i)), "other": others.take(pa.array(j)), "cosine": pa.array(cosine.astype(np.float64))})
         return made.filter(pa.compute.not_equal(made.column("ext_id"), made.column("other")))
 
-    found = records.unionByName(asked).groupBy("list", "r", "q").applyInArrow(search, kind)
+    turns = [under_way(turn).groupBy("list", "r", "q").applyInArrow(search, kind) for turn in range(passes)]
+    if near_only or passes > 1:
+        with shuffles_dropped(vectors.sparkSession):
+            turns = [written(t, "met") for t in turns]
+    found = reduce(DataFrame.unionByName, turns)
     if near_only and queries is None:
         # A pair that one side has found is one for both.
-        found = written(found, "met")
         back = found.select(F.col("other").alias("ext_id"), F.col("ext_id").alias("other"), "cosine")
         found = found.unionByName(back).groupBy("ext_id", "other").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("ext_id").orderBy(F.col("cosine").desc(), "other")
@@ -410,7 +430,8 @@ def mutual_pairs(op_log: DataFrame, k: int = 10, least: float = 0.96, dim: int =
     All records within ``least`` of a record rank before those beyond, so the k nearest within it
     decide.  Cosines are compared as float32 with a tolerance of one part in a million.
     """
-    near = written(most_similar(live_units(op_log, dim), k, least - 1e-6, dim=dim).select("ext_id", "other"), "near")
+    with shuffles_dropped(op_log.sparkSession):
+        near = written(most_similar(live_units(op_log, dim), k, least - 1e-6, dim=dim).select("ext_id", "other"), "near")
     back = near.select(F.col("ext_id").alias("other"), F.col("other").alias("ext_id"))
     return near.join(back, ["ext_id", "other"]).where("ext_id < other").select(
         F.col("ext_id").alias("ext_a"), F.col("other").alias("ext_b")
