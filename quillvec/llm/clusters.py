@@ -16,12 +16,14 @@ may be a cluster, two are a pair.  Leaves that are no piece of a cluster are div
 
 The means of the pieces are moved to the mean of all records within reach until they stand still,
 which joins pieces of one cluster and collects members that were cut off.  Rounds go on until
-``TREES`` trees with different cuts find no further cluster.
+``TREES`` trees with different cuts find no further cluster.  The first round makes one tree; the
+later ones, over the few records left, make all of them in the same passes.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -32,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillvec.llm.vectors import DIM, binary, live_units, matrix, unit_vectors
-from quillvec.session import small, written
+from quillvec.llm.vectors import DIM, binary, matrix, unit_vectors
+from quillvec.operators import oplog
+from quillvec.session import shuffles_dropped, small, written
 
 REACH = 0.6  # least cosine of a member to its cluster's mean direction
 LEAST = 3  # fewer records are no cluster
@@ -43,11 +46,12 @@ SEEN = 512  # records of a node whose cosines are looked at together
 TREES = 3  # trees that must find nothing before the rounds end
 SETTLE = 1  # passes of 2-means after a split of a larger node
 SAME = 0.9  # cosine of two means that are one cluster
+CELLS = 1 << 22  # cosines to means that a task makes at once
 
 
 @dataclass
 class Tree:
-    """Binary tree of centres; node 0 is the root."""
+    """Binary trees of centres; node 0 is the first root."""
 
     centres: list[np.ndarray] = field(default_factory=list)
     children: list[tuple[int, int] | None] = field(default_factory=list)
@@ -57,9 +61,9 @@ class Tree:
         self.children.append(None)
         return len(self.centres) - 1
 
-    def leaves_of(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row of ``x``, by one product per level."""
-        at = np.zeros(len(x), np.int64)
+    def leaves_of(self, x: np.ndarray, root: int = 0) -> np.ndarray:
+        """The leaf below ``root`` of each row of ``x``, by one product per level."""
+        at = np.full(len(x), root, np.int64)
         centres = np.array(self.centres, np.float32)
         half = (centres * centres).sum(axis=1) / 2
         left = np.array([c[0] if c else -1 for c in self.children])
@@ -125,14 +129,13 @@ def closest(x: np.ndarray, total: int) -> np.ndarray | None:
         return None
     cosine = x @ x.T
     np.fill_diagonal(cosine, 2)
-    order = np.argsort(-cosine, axis=1, kind="stable")
-    near = np.cumsum(np.take_along_axis(cosine, order, 1)[:, 1:], axis=1) / np.arange(1, n)  # mean of the nearest m - 1 others
+    near = np.cumsum(-np.sort(-cosine, axis=1)[:, 1:], axis=1) / np.arange(1, n)  # mean of the nearest m - 1 others
     over = near[:, LEAST - 2 :] - needed(total, dim, SEEN)[LEAST : n + 1]
     if (over < 0).all():
         return None
     row, m = np.unravel_index(int(over.argmax()), over.shape)
     group = np.zeros(n, bool)
-    group[order[row, : m + LEAST]] = True
+    group[np.argsort(-cosine[row], kind="stable")[: m + LEAST]] = True
     return group if _is_cluster(x[group].astype(np.float64), total) else group & False
 
 
@@ -164,6 +167,12 @@ def _moments(x: np.ndarray, dim: int, second: bool) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def _slices(x: np.ndarray, means: int) -> Iterator[np.ndarray]:
+    """``x`` in parts of at most ``CELLS`` cosines to ``means`` means, or of one row."""
+    step = max(1, CELLS // max(1, means))
+    return (x[i : i + step] for i in range(0, len(x), step))
+
+
 def _added(rows: DataFrame, run) -> dict[int, np.ndarray]:
     """Runs ``run`` (batches -> {number: moments}) per task and adds up by number.
 
@@ -242,15 +251,17 @@ def divided(x: np.ndarray, total: int, seed: int = 0) -> list[tuple[int, np.ndar
         out = _stands_out(len(rows), values, dim)
         side = centred @ (directions[:, -1] if out else rng.normal(size=dim)) > 0
         cut = side
-        while 0 < side.sum() < len(side):
-            a, b = part[side].mean(axis=0), part[~side].mean(axis=0)
-            new = part @ (a - b) > (a @ a - b @ b) / 2
-            if (new == side).all() or not 0 < new.sum() < len(new):
+        m, sums = int(side.sum()), side @ centred  # the other side's sum is the negative
+        while 0 < m < len(side):
+            # The sides' means are sums / m and -sums / (n - m), so that they differ in the direction of sums.
+            new = centred @ sums > sums @ sums * (1 / m - 1 / (len(side) - m)) / 2
+            n, moved = int(new.sum()), new @ centred
+            if (new == side).all() or not 0 < n < len(new):
                 break
-            gain = lambda s: sum(np.square(part[m].sum(axis=0)).sum() / m.sum() for m in (s, ~s))
-            if gain(new) <= gain(side) * (1 + 1e-9):
+            gain = lambda k, s: float(s @ s) * (1 / k + 1 / (len(side) - k))
+            if gain(n, moved) <= gain(m, sums) * (1 + 1e-9):
                 break
-            side = new
+            side, m, sums = new, n, moved
         if not 0 < side.sum() < len(side):
             side = cut
         if not 0 < side.sum() < len(side):
@@ -262,24 +273,29 @@ def divided(x: np.ndarray, total: int, seed: int = 0) -> list[tuple[int, np.ndar
     return found
 
 
-def _bisect(left: DataFrame, dim: int, total: int, seed: int) -> list[np.ndarray]:
-    """Mean directions of the pieces of clusters among the ``total`` records of ``left``."""
-    tree, rng = Tree(), np.random.default_rng(seed)
-    tree.add(np.zeros(dim))
-    pieces: list[tuple[float, np.ndarray]] = []
-    local: set[int] = {0} if total <= LOCAL else set()
-    active = set() if local else {0}
+def _bisect(left: DataFrame, dim: int, total: int, seeds: range) -> list[tuple[np.ndarray, int]]:
+    """Mean directions of the pieces of clusters among the ``total`` records of ``left``, and the tree of each.
+
+    There is one tree per seed; all are made in the same passes.
+    """
+    tree, rngs = Tree(), [np.random.default_rng(seed) for seed in seeds]
+    roots = [tree.add(np.zeros(dim)) for _ in seeds]
+    own = {root: t for t, root in enumerate(roots)}  # the tree of a node
+    pieces: list[tuple[float, np.ndarray, int]] = []
+    local: set[int] = set(roots) if total <= LOCAL else set()
+    active = set() if local else set(roots)
     whole: dict[int, float] = {}  # rows of a node's parent
     settle = 0
     while active:
         wanted, second = frozenset(active), settle == 0
 
-        def run(batch, tree=tree, wanted=wanted, second=second):
+        def run(batch, tree=tree, wanted=wanted, second=second, open_roots=sorted({roots[own[k]] for k in active})):
             x = matrix(batch.column(0), dim)
-            leaf = tree.leaves_of(x)
-            for k in np.unique(leaf).tolist():
-                if k in wanted:
-                    yield k, _moments(x[leaf == k], dim, second)
+            for root in open_roots:
+                leaf = tree.leaves_of(x, root)
+                for k in np.unique(leaf).tolist():
+                    if k in wanted:
+                        yield k, _moments(x[leaf == k], dim, second)
 
         sums = _added(left, run)
         if settle:
@@ -302,11 +318,11 @@ def _bisect(left: DataFrame, dim: int, total: int, seed: int) -> list[np.ndarray
             if reach >= REACH and chance(total, int(n), min(1.0, reach), dim) < SURE and (
                 values.sum() < 1e-9 or not _stands_out(n, values, dim)
             ):
-                pieces.append((n, unit(mean)))
+                pieces.append((n, unit(mean), own[k]))
             elif n <= LOCAL:
                 local.add(k)
             elif values.sum() > 1e-12:
-                away = directions[:, -1] if _stands_out(n, values, dim) else unit(rng.normal(size=dim))
+                away = directions[:, -1] if _stands_out(n, values, dim) else unit(rngs[own[k]].normal(size=dim))
                 splits.append((k, n, mean, away * np.sqrt(values[-1])))
         active = set()
         for k, n, mean, direction in splits:
@@ -314,28 +330,31 @@ def _bisect(left: DataFrame, dim: int, total: int, seed: int) -> list[np.ndarray
             tree.children[k] = pair
             active |= set(pair)
             whole |= {pair[0]: n, pair[1]: n}
+            own |= {pair[0]: own[k], pair[1]: own[k]}
         settle = SETTLE
 
     if local:
         nodes = frozenset(local)
 
-        def sent(batches: Iterator[pa.RecordBatch], tree=tree) -> Iterator[pa.RecordBatch]:
+        def sent(batches: Iterator[pa.RecordBatch], tree=tree, open_roots=sorted({roots[own[k]] for k in local})) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                leaf = tree.leaves_of(matrix(batch.column(0), dim))
-                made = pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), batch.column(0)], ["k", "v"])
-                yield made.filter(pa.array(np.isin(leaf, list(nodes))))
+                for root in open_roots:
+                    leaf = tree.leaves_of(matrix(batch.column(0), dim), root)
+                    made = pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), batch.column(0)], ["k", "v"])
+                    yield made.filter(pa.array(np.isin(leaf, list(nodes))))
 
-        def subtree(part):
+        def subtree(key, part):
+            k = key[0].as_py()
             blocks = [matrix(b, dim) for b in part.column("v").chunks]
             x = np.concatenate(blocks) if blocks else np.zeros((0, dim), np.float32)
             x = x[np.lexsort(x.T)]  # the same tree in whatever order the rows come
-            made = divided(x, total, seed)
-            return pa.table({"n": pa.array([n for n, _ in made], pa.int64()),
+            made = divided(x, total, seeds[own[k]])
+            return pa.table({"k": pa.array([k] * len(made), pa.int32()), "n": pa.array([n for n, _ in made], pa.int64()),
                              "s": binary(np.array([s for _, s in made], np.float32).reshape(-1, dim))})
 
-        grouped = left.mapInArrow(sent, "k int, v binary").groupBy("k").applyInArrow(subtree, "n bigint, s binary")
-        pieces += [(r["n"], unit(np.frombuffer(r["s"], np.float32).astype(np.float64))) for r in grouped.collect()]
-    return [m for _, m in sorted(pieces, key=lambda p: (-p[0], p[1].tobytes()))]
+        grouped = left.mapInArrow(sent, "k int, v binary").groupBy("k").applyInArrow(subtree, "k int, n bigint, s binary")
+        pieces += [(r["n"], unit(np.frombuffer(r["s"], np.float32).astype(np.float64)), own[r["k"]]) for r in grouped.collect()]
+    return [(m, t) for _, m, t in sorted(pieces, key=lambda p: (-p[0], p[1].tobytes(), p[2]))]
 
 
 def _distinct(means: list[np.ndarray]) -> list[int]:
@@ -350,60 +369,67 @@ def _distinct(means: list[np.ndarray]) -> list[int]:
 def _shifted(vectors: DataFrame, dim: int, means: list[np.ndarray], total: int) -> list[np.ndarray]:
     """Moves means to the mean of the records in reach until they stand still.
 
-    Joins means of one cluster, and drops those whose records are no closer than chance.
+    Joins means of one cluster, and drops those whose records are no closer than chance.  A mean that
+    stands still is not compared again.
     """
-    while means:
-        m = np.array(means, np.float32)
+    moving = [True] * len(means)
+    while any(moving):
+        m = np.array([o for o, moves in zip(means, moving) if moves], np.float32)
 
         def run(batch, m=m):
-            x = matrix(batch.column(0), dim)
-            near = x @ m.T >= REACH
-            for k in np.flatnonzero(near.any(axis=0)).tolist():
-                yield k, _moments(x[near[:, k]], dim, False)
+            for x in _slices(matrix(batch.column(0), dim), len(m)):
+                k, row = np.divmod(np.flatnonzero(m @ x.T >= REACH), len(x))  # by number
+                ends = np.flatnonzero(np.diff(k, append=-1)) + 1
+                for a, b in zip([0, *ends[:-1]], ends):
+                    yield int(k[a]), _moments(x[row[a:b]], dim, False)
 
         sums = _added(vectors, run)
-        moved = []
-        for k in range(len(means)):
-            n = sums[k][0] if k in sums else 0
-            reach = min(1.0, float(np.linalg.norm(sums[k][1:])) / n) if n else 0.0
+        moved, at = [], -1
+        for mean, moves in zip(means, moving):
+            if not moves:
+                moved.append((mean, False))
+                continue
+            at += 1
+            n = sums[at][0] if at in sums else 0
+            reach = min(1.0, float(np.linalg.norm(sums[at][1:])) / n) if n else 0.0
             if n >= LEAST and chance(total, int(n), reach, dim) < SURE:
-                moved.append(unit(sums[k][1:]))
-        new = [moved[i] for i in _distinct(moved)]
-        still = len(new) == len(means) and all(1 - float(a @ b) < 1e-6 for a, b in zip(new, means))
-        means = new
-        if still:
-            break
+                new = unit(sums[at][1:])
+                moved.append((new, 1 - float(new @ mean) >= 1e-6))
+        kept = _distinct([mean for mean, _ in moved])
+        means, moving = [moved[i][0] for i in kept], [moved[i][1] for i in kept]
     return means
 
 
 def found_clusters(vectors: DataFrame, dim: int = DIM) -> tuple[np.ndarray, list[int]]:
     """Mean directions of the clusters of ``(v binary)``, largest piece first, and their leaves."""
-    vectors = vectors.select("v").where(F.col("v") != F.lit(bytes(4 * dim)))
     means: list[np.ndarray] = []
     leaves: list[int] = []
-    left, total, tree = vectors, vectors.count(), 0
-    while tree < TREES:
-        found = _bisect(left, dim, total, tree) if total >= LEAST else []
-        tree += 1
-        if not found:
-            continue
+    left, seeds = vectors.select("v").where(F.col("v") != F.lit(bytes(4 * dim))), range(1)
+    total = left.count()
+    while seeds:
+        with shuffles_dropped(vectors.sparkSession):
+            found = _bisect(left, dim, total, seeds) if total >= LEAST else []
         before = len(means)
         # Joined before they are moved, so that a cluster of many leaves is moved once.  Records of
         # the earlier clusters are out of the reach of these.
-        means += _shifted(left, dim, [found[k] for k in _distinct(found)], total)
-        leaves += [0] * (len(means) - len(leaves))
-        if len(means) <= before:
+        means += _shifted(left, dim, [found[k][0] for k in _distinct([m for m, _ in found])], total)
+        if len(means) == before:
+            seeds = range(seeds.stop, TREES)  # the trees that have not been tried on these records
             continue
-        tree = 0
-        for k in np.argmax(np.array(found) @ np.array(means).T, axis=1).tolist():
-            leaves[k] += 1
-        m = np.array(means, np.float32)
+        own = [Counter() for _ in means]
+        for (_, t), k in zip(found, np.argmax(np.array([m for m, _ in found]) @ np.array(means).T, axis=1).tolist()):
+            own[k][t] += 1
+        leaves += [0] * (len(means) - before)
+        for k, n in enumerate(own):
+            leaves[k] += n[min(n)] if n else 0  # of the first tree that has any
+        m = np.array(means[before:], np.float32)
 
         def rest(batches: Iterator[pa.RecordBatch], m=m) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array((matrix(batch.column(0), dim) @ m.T).max(axis=1) < REACH))
+                far = [(x @ m.T).max(axis=1) < REACH for x in _slices(matrix(batch.column(0), dim), len(m))]
+                yield batch.filter(pa.array(np.concatenate(far))) if far else batch
 
-        left = written(left.mapInArrow(rest, "v binary"), "left")
+        left, seeds = written(left.mapInArrow(rest, "v binary"), "left"), range(TREES)
         total = left.count()
     return np.array(means, np.float32).reshape(-1, dim), leaves
 
@@ -424,12 +450,13 @@ def assigned(vectors: DataFrame, means: np.ndarray, dim: int = DIM) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(len(keys)), dim)
-            if len(means):
-                score = x @ means.T
-                best = score.argmax(axis=1)
-                cosine = score[np.arange(len(x)), best].astype(np.float64)
-            else:
-                best, cosine = np.zeros(len(x), np.int64), np.full(len(x), -1.0)
+            best, cosine = np.zeros(len(x), np.int64), np.full(len(x), -1.0)
+            at = 0
+            for part in _slices(x, len(means)) if len(means) else ():
+                score = part @ means.T
+                to, at = at, at + len(part)
+                best[to:at] = score.argmax(axis=1)
+                cosine[to:at] = score[np.arange(len(part)), best[to:at]]
             far = cosine < REACH
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keys)], pa.array(best, pa.int32(), mask=far), pa.array(cosine, mask=far)],
@@ -441,14 +468,14 @@ def assigned(vectors: DataFrame, means: np.ndarray, dim: int = DIM) -> DataFrame
 
 
 def _with_anchors(op_log: DataFrame, anchors: DataFrame, dim: int) -> DataFrame:
-    live = live_units(op_log, dim)
+    state = oplog.fold(op_log.select("lsn", "op", "ext_id", "vec"), dim, with_meta=False)
+    live = unit_vectors(state, "ext_id", "vec", dim)
     own = unit_vectors(anchors.where(F.col("anchor_id").isNotNull()), "anchor_id", "vec", dim)
-    return written(
-        live.select(F.lit(None).cast("int").alias("anchor_id"), "ext_id", "v").unionByName(
-            own.select(F.col("anchor_id").cast("int"), F.lit(None).cast("string").alias("ext_id"), "v")
-        ),
-        "clustered",
+    rows = live.select(F.lit(None).cast("int").alias("anchor_id"), "ext_id", "v").unionByName(
+        own.select(F.col("anchor_id").cast("int"), F.lit(None).cast("string").alias("ext_id"), "v")
     )
+    with shuffles_dropped(op_log.sparkSession):
+        return written(rows, "clustered")
 
 
 def anchored(op_log: DataFrame, anchors: DataFrame, dim: int = DIM) -> DataFrame:
@@ -457,11 +484,11 @@ def anchored(op_log: DataFrame, anchors: DataFrame, dim: int = DIM) -> DataFrame
     Anchors with a null, short or non-finite vector are in none, as are all-zero vectors.
     """
     rows = _with_anchors(op_log, anchors, dim)
-    placed = assigned(rows, cluster_means(rows, dim), dim).where(F.col("cluster").isNotNull())
-    own = placed.where(F.col("anchor_id").isNotNull()).select("anchor_id", "cluster").distinct()
-    return placed.where(F.col("ext_id").isNotNull()).select("ext_id", "cluster").join(small(own, 10_000), "cluster").select(
-        "anchor_id", "ext_id"
-    )
+    means = cluster_means(rows, dim)
+    # Filtered before they are compared, which the scan does.
+    own, live = (assigned(rows.where(F.col(k).isNotNull()).select(k, "v"), means, dim).where(F.col("cluster").isNotNull()) for k in ("anchor_id", "ext_id"))
+    own = own.select("anchor_id", "cluster").distinct()
+    return live.select("ext_id", "cluster").join(small(own, 10_000), "cluster").select("anchor_id", "ext_id")
 
 
 def described(op_log: DataFrame, anchors: DataFrame, dim: int = DIM, typical: int = 5) -> DataFrame:

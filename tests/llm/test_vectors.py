@@ -263,6 +263,25 @@ def test_small_clusters_among_nodes_of_several_tasks(spark, monkeypatch):
     assert len(means) == len(centres)
 
 
+def test_trees_share_passes_and_means_that_stand_still_are_not_compared_again(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "LOCAL", 2000)
+    x, centres = _with_small_clusters(9000)
+    rows = spark.createDataFrame([(v.tobytes(),) for v in x], "v binary").repartition(4).cache()
+    passes, added = [], clusters._added
+
+    def counted(rows, run):
+        passes.append(added(rows, run))
+        return passes[-1]
+
+    monkeypatch.setattr(clusters, "_added", counted)
+    means, _ = clusters.found_clusters(rows, 48)
+    assert len(means) == len(centres) and ((centres @ means.T) > 0.9).any(axis=1).all()
+    assert len(passes) <= 20  # 30 with one tree at a time
+    passes.clear()
+    assert len(clusters._shifted(rows, 48, [means[0], clusters.unit(means[1] + means[2] / 2)], len(x))) == 2
+    assert [len(p) for p in passes[:2]] == [2, 1]
+
+
 def test_chance_falls_with_closeness_and_rises_with_the_records():
     assert clusters.chance(1000, 5, 0.96, 48) < clusters.chance(1000, 5, 0.8, 48) < clusters.chance(10**6, 5, 0.8, 48)
     assert clusters.chance(1000, 3, 1.0, 48) == -np.inf and clusters.chance(1000, 1, 1.0, 48) == np.inf
